@@ -1,4 +1,490 @@
-"""The registered queries and their SQL."""
+"""The registered queries and, for those that SQL can express, the SQL that DuckDB runs.
+
+The tables hold Latin text without combining marks, so queries about marks read derived text: lower case with letters replaced by
+Devanagari vowel signs and letters. Scores of pieces are made from lengths: they exercise the statistics, not a model.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphstream.functions import patterns as P
+from glyphstream.functions import text as X
+from glyphstream.operators import bpe, prep, stats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def ratio(a, b, digits: int = 6):
+    return F.round(a / b, digits)
+
+
+TR = f"translate(lower(text), '{P.TRANSLIT_FROM}', '{P.TRANSLIT_TO}')"
+A_RAW, B_RAW = P.duckdb_count("text", P.PAT_A), P.duckdb_count("text", P.PAT_B)
+A_TR, B_TR = P.duckdb_count(TR, P.PAT_A), P.duckdb_count(TR, P.PAT_B)
+tr = lambda: X.translit(F.col("text"))
+
+
+# ---- pre-token floors --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH c AS (SELECT lang, strlen(text) AS bytes, length(text) AS chars, {A_TR} AS a, {B_TR} AS b, len(regexp_extract_all({TR}, '\\p{{M}}')) AS m, length({TR}) AS tc FROM documents)
+SELECT lang, count(*) AS docs, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(a) AS BIGINT) AS floor_a, CAST(sum(b) AS BIGINT) AS floor_b, round(sum(a) / sum(b), 6) AS headroom, round(sum(m) / sum(tc), 6) AS mark_density FROM c GROUP BY lang""")
+def floor_by_lang(spark, d):
+    """Documents, bytes, floors under both patterns, headroom and mark density of the derived text, one scan and one aggregate."""
+    c = docs(spark, d).select("lang", F.octet_length("text").alias("bytes"), tr().alias("t"))
+    c = c.select("lang", "bytes", X.pretoken_count(F.col("t"), P.PAT_A).alias("a"), X.pretoken_count(F.col("t"), P.PAT_B).alias("b"), F.regexp_count("t", F.lit(r"\p{M}")).alias("m"), F.length("t").alias("tc"))
+    return c.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"), F.sum("a").alias("floor_a"), F.sum("b").alias("floor_b"), ratio(F.sum("a"), F.sum("b")).alias("headroom"), ratio(F.sum("m"), F.sum("tc")).alias("mark_density"))
+
+
+@query(f"SELECT CAST(sum({A_RAW}) AS BIGINT) AS floor_a, CAST(sum({B_RAW}) AS BIGINT) AS floor_b, sum(CASE WHEN {A_RAW} <> {B_RAW} THEN 1 ELSE 0 END)::BIGINT AS differing FROM documents")
+def regex_negative_control(spark, d):
+    """Text without marks must cost the same under both patterns."""
+    c = docs(spark, d).select(X.pretoken_count(F.col("text"), P.PAT_A).alias("a"), X.pretoken_count(F.col("text"), P.PAT_B).alias("b"))
+    return c.agg(F.sum("a").cast("bigint").alias("floor_a"), F.sum("b").cast("bigint").alias("floor_b"), F.count_if(F.col("a") != F.col("b")).alias("differing"))
+
+
+@query(f"SELECT lang, round(sum({A_TR}) / sum({B_TR}), 6) AS headroom, sum({A_TR}) / sum({B_TR}) < 1.15 AS no_room FROM documents GROUP BY lang")
+def headroom_by_lang(spark, d):
+    c = docs(spark, d).select("lang", X.pretoken_count(tr(), P.PAT_A).alias("a"), X.pretoken_count(tr(), P.PAT_B).alias("b"))
+    return c.groupBy("lang").agg(ratio(F.sum("a"), F.sum("b")).alias("headroom"), (F.sum("a") / F.sum("b") < 1.15).alias("no_room"))
+
+
+@query(f"SELECT lang, round(sum(len(regexp_extract_all({TR}, '\\p{{M}}'))) / sum(length({TR})), 6) AS mark_density FROM documents GROUP BY lang")
+def mark_density(spark, d):
+    return docs(spark, d).select("lang", tr().alias("t")).groupBy("lang").agg(ratio(F.sum(F.regexp_count("t", F.lit(r"\p{M}"))), F.sum(F.length("t"))).alias("mark_density"))
+
+
+@query(f"SELECT lang, count(*) AS docs, sum(CASE WHEN {A_TR} <> {B_TR} THEN 1 ELSE 0 END)::BIGINT AS changed FROM documents GROUP BY lang")
+def pretok_diff_sentences(spark, d):
+    """Documents whose pre-token counts differ between the patterns; the sequences differ wherever the counts do."""
+    return docs(spark, d).select("lang", tr().alias("t")).groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(X.pretoken_count(F.col("t"), P.PAT_A) != X.pretoken_count(F.col("t"), P.PAT_B)).alias("changed"))
+
+
+@query()
+def change_matrix(spark, d):
+    """Per language: pairwise differing sequences of the original, repaired and one-script patterns, and documents with marks."""
+    deva = P.repair_devanagari(P.PAT_A)
+    c = docs(spark, d).select("lang", tr().alias("t")).select("lang", X.pretokens(F.col("t"), P.PAT_A).alias("o"), X.pretokens(F.col("t"), P.PAT_B).alias("g"), X.pretokens(F.col("t"), deva).alias("v"), F.col("t").rlike(r"\p{M}").alias("m"))
+    return c.groupBy("lang").agg(F.count_if(F.col("o") != F.col("g")).alias("o_g"), F.count_if(F.col("o") != F.col("v")).alias("o_d"), F.count_if(F.col("g") != F.col("v")).alias("g_d"), F.count_if("m").alias("marked"))
+
+
+@query()
+def guarantee_violations(spark, d):
+    """Documents without a Devanagari mark that the one-script repair changes; must be none."""
+    marks = "[" + "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in P.DEVANAGARI_MARKS) + "]"
+    c = docs(spark, d).select(F.explode(F.array("text", tr())).alias("t")).where(~F.col("t").rlike(marks))
+    return c.agg(F.count("*").alias("checked"), F.count_if(X.pretokens(F.col("t"), P.PAT_A) != X.pretokens(F.col("t"), P.repair_devanagari(P.PAT_A))).alias("violations"))
+
+
+@query(f"SELECT lang, CAST(sum({A_RAW}) AS BIGINT) AS pieces, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def staged_split(spark, d):
+    """Pieces of a two-stage pipeline whose second stage changes nothing, and the code points they cover, which must be all."""
+    c = docs(spark, d).select("lang", X.staged(F.col("text"), [P.PAT_A, r"[\s\S]+"]).alias("p"))
+    return c.groupBy("lang").agg(F.sum(F.size("p")).alias("pieces"), F.sum(F.length(F.array_join("p", ""))).alias("chars"))
+
+
+WORDS = "SELECT doc_id, lang, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS w FROM documents"
+
+
+def word_rows(spark, d):
+    return docs(spark, d).select("doc_id", "lang", F.explode(X.words(F.col("text"))).alias("w"))
+
+
+@query(f"WITH t AS ({WORDS}) SELECT w, count(*) AS n FROM t WHERE w <> '' GROUP BY w")
+def type_counts(spark, d):
+    """The one heavy shuffle of vocabulary work: distinct types with counts, partially aggregated before it."""
+    return word_rows(spark, d).groupBy("w").agg(F.count("*").alias("n"))
+
+
+@query()
+def pretok_type_counts(spark, d):
+    """Script-bearing pre-token types of the derived text."""
+    t = docs(spark, d).select(F.explode(X.pretokens(tr(), P.PAT_B)).alias("ptok")).where(F.col("ptok").rlike(P.DEVANAGARI))
+    return t.groupBy("ptok").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH t AS ({WORDS}), c AS (SELECT w, count(*) AS n FROM t WHERE w <> '' GROUP BY w),
+r AS (SELECT n, sum(n) OVER (ORDER BY n DESC, w) / (SELECT sum(n) FROM c) AS share FROM c)
+SELECT count(*) AS types, CAST(sum(n) AS BIGINT) AS tokens, (count(*) FILTER (WHERE share < 0.99) + 1)::BIGINT AS types_99, (count(*) FILTER (WHERE share < 0.999) + 1)::BIGINT AS types_999 FROM r""")
+def coverage_rank(spark, d):
+    """How many of the most frequent types reach 99 % and 99.9 % of tokens; the order within one count does not matter, so counts of counts do."""
+    by_n = word_rows(spark, d).groupBy("w").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("k"))
+    total = by_n.agg(F.sum("k").alias("types"), F.sum(F.col("n") * F.col("k")).alias("tokens"))
+    upto = by_n.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("k")).over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = lambda s: F.sum(F.greatest(F.lit(0), F.least("k", F.ceil((F.lit(s) * F.col("tokens") - F.col("before")) / F.col("n")) - 1))) + 1
+    return upto.crossJoin(F.broadcast(total)).groupBy("types", "tokens").agg(below(0.99).cast("bigint").alias("types_99"), below(0.999).cast("bigint").alias("types_999"))
+
+
+@query("""WITH t AS (SELECT string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),
+p AS (SELECT unnest(list_zip(w[1:len(w)-1], w[2:])) AS z FROM t WHERE len(w) > 1)
+SELECT z[1] AS a, z[2] AS b, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 5""")
+def word_bigrams(spark, d):
+    """Adjacent pairs that occur five times or more, not across documents."""
+    w = docs(spark, d).select(X.words(F.col("text")).alias("w")).where(F.size("w") > 1)
+    pair = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return w.select(F.explode(pair).alias("z")).groupBy("z.a", "z.b").agg(F.count("*").alias("n")).where("n >= 5")
+
+
+@query(f"""WITH t AS ({WORDS}), r AS (SELECT DISTINCT w FROM t WHERE doc_id % 2 = 0), e AS (SELECT lang, w, count(*) AS n FROM t WHERE doc_id % 2 = 1 AND w <> '' GROUP BY ALL)
+SELECT lang, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(CASE WHEN r.w IS NULL THEN n ELSE 0 END) AS BIGINT) AS unseen, count(*) AS types, count(*) FILTER (WHERE r.w IS NULL) AS unseen_types FROM e LEFT JOIN r ON e.w = r.w GROUP BY lang""")
+def unseen_rates(spark, d):
+    """Tokens and types of odd documents that even ones lack. Both sides are aggregated to types before they meet."""
+    t = word_rows(spark, d)
+    seen = t.where("doc_id % 2 = 0").select("w").distinct().withColumn("s", F.lit(1))
+    mine = t.where("doc_id % 2 = 1").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    return mine.join(seen, "w", "left").groupBy("lang").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("s").isNull(), F.col("n")).otherwise(0)).alias("unseen"), F.count("*").alias("types"), F.count_if(F.col("s").isNull()).alias("unseen_types"))
+
+
+# ---- corpus preparation ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE text IS NULL OR length(text) < 200")
+def prep_short(spark, d):
+    return docs(spark, d).where(prep.short(F.col("text"))).select("doc_id", F.length("text").cast("bigint").alias("n"))
+
+
+@query("SELECT lang, count(*) AS docs, count(*) FILTER (WHERE nfc_normalize(replace(text, 'é', 'e' || chr(769))) = nfc_normalize(text)) AS same, CAST(sum(length(nfc_normalize(replace(text, 'é', 'e' || chr(769))))) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def nfc_roundtrip(spark, d):
+    """Decomposed text composes back to the original."""
+    c = docs(spark, d).select("lang", "text", X.nfc(F.replace(F.col("text"), F.lit("é"), F.lit("é"))).alias("n"))
+    return c.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(F.col("n") == F.col("text")).alias("same"), F.sum(F.length("n")).alias("chars"))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS dup FROM documents")
+def prep_dedup_exact(spark, d):
+    return prep.first_of_equal(docs(spark, d).select("doc_id", "text")).select("doc_id", "dup")
+
+
+GRAMS = "list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))"
+
+
+def _gram_sql(n: int) -> str:
+    g = GRAMS.format(n=n)
+    split = "string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')"
+    return f"""WITH b AS (SELECT DISTINCT unnest({g}) AS gram FROM (SELECT {split} AS w FROM benchmark) WHERE len(w) >= {n}),
+e AS (SELECT doc_id, unnest({g}) AS gram FROM (SELECT doc_id, {split} AS w FROM documents) WHERE len(w) >= {n}), h AS (SELECT DISTINCT doc_id FROM e SEMI JOIN b USING (gram))"""
+
+
+@query(_gram_sql(10) + " SELECT doc_id FROM h")
+def decontam_ngram10(spark, d):
+    return prep.word_contaminated(docs(spark, d).select("doc_id", "text"), table(spark, d, "benchmark")).where("contaminated").select("doc_id")
+
+
+@query("""WITH b AS (SELECT DISTINCT unnest(list_transform(range(1, length(text) - 48), lambda i: substr(text, i, 50))) AS gram FROM benchmark WHERE length(text) >= 50),
+e AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 48, 25), lambda i: substr(text, i, 50))) AS gram FROM documents WHERE length(text) >= 50)
+SELECT DISTINCT doc_id FROM e SEMI JOIN b USING (gram)""")
+def decontam_char50(spark, d):
+    return prep.char_contaminated(docs(spark, d).select("doc_id", "text"), table(spark, d, "benchmark")).where("contaminated").select("doc_id")
+
+
+FUNNEL = _gram_sql(10) + """, f AS (SELECT lang, source, strlen(text) AS bytes, length(text) < 200 AS short,
+row_number() OVER (PARTITION BY length(text) < 200, text ORDER BY doc_id) > 1 AS dup, doc_id IN (SELECT doc_id FROM h) AS contam FROM documents)
+SELECT lang, count(*) AS docs, count(*) FILTER (WHERE short) AS short, count(*) FILTER (WHERE NOT short AND dup) AS dup,
+count(*) FILTER (WHERE NOT short AND NOT dup AND contam) AS contam, count(*) FILTER (WHERE NOT short AND NOT dup AND NOT contam) AS kept,
+CAST(coalesce(sum(bytes) FILTER (WHERE NOT short AND NOT dup AND NOT contam), 0) AS BIGINT) AS bytes FROM f GROUP BY lang"""
+
+
+@query(FUNNEL)
+def prep_funnel(spark, d):
+    """One reason per document, the first that applies: short, dup, contam; a contaminated text still makes its later copies dups."""
+    c = docs(spark, d).select("doc_id", "lang", "text", prep.short(F.col("text")).alias("short"))
+    long = prep.first_of_equal(c.where("not short"))
+    marked = prep.word_contaminated(long, table(spark, d, "benchmark"))
+    reason = F.when(F.col("dup"), "dup").when(F.col("contaminated"), "contam").otherwise("kept")
+    all_ = marked.select("lang", reason.alias("r"), F.octet_length("text").alias("b")).union(c.where("short").select("lang", F.lit("short"), F.octet_length("text")))
+    n = lambda x: F.count_if(F.col("r") == x).alias(x)
+    return all_.groupBy("lang").agg(F.count("*").alias("docs"), n("short"), n("dup"), n("contam"), n("kept"), F.sum(F.when(F.col("r") == "kept", F.col("b")).otherwise(0)).cast("bigint").alias("bytes"))
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id) - strlen(text) AS before FROM documents) WHERE before < 50000")
+def budget_prefix(spark, d):
+    """Per language, documents in order until 50,000 bytes; the crossing one is kept."""
+    return prep.within_budget(docs(spark, d).select("doc_id", "lang", F.octet_length("text").alias("bytes")), "bytes", "doc_id", 50_000, ["lang"]).select("doc_id", "lang")
+
+
+@query("""WITH a AS (SELECT doc_id, strlen(text) AS b, sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text) AS before FROM documents),
+h AS (SELECT doc_id, b, before < 100000 AS held FROM a), t AS (SELECT *, sum(CASE WHEN held THEN 0 ELSE b END) OVER (ORDER BY doc_id) - CASE WHEN held THEN 0 ELSE b END AS rest FROM h)
+SELECT doc_id, CASE WHEN held THEN 'held' WHEN rest < 500000 THEN 'train' ELSE 'out' END AS split FROM t""")
+def heldout_split(spark, d):
+    return prep.held_out_split(docs(spark, d).select("doc_id", F.octet_length("text").alias("bytes")), "bytes", "doc_id", 100_000, 500_000).select("doc_id", "split")
+
+
+@query("SELECT lang, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS newlines FROM documents GROUP BY lang")
+def flatten_newlines(spark, d):
+    """Newline-flattening keeps every length and turns each newline into a space."""
+    c = docs(spark, d).select("lang", "text", F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("t"))
+    return c.groupBy("lang").agg(F.sum(F.octet_length("t")).alias("bytes"), F.sum(F.length("t")).alias("chars"), F.sum(F.regexp_count("text", F.lit("\n"))).cast("bigint").alias("newlines"))
+
+
+# ---- metrics -----------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH s AS (SELECT lang, sum({B_RAW}) AS te, sum({A_TR}) AS a, sum({B_TR}) AS b, sum(strlen({TR})) AS bytes, sum(length({TR})) AS chars FROM documents GROUP BY lang)
+SELECT lang, round(a / te, 6) AS premium_a, round(b / te, 6) AS premium_b, round(a / b, 6) AS regex_factor, round(a / bytes, 6) AS tokens_per_byte_a, round(bytes / b, 6) AS bytes_per_token_b, CAST(chars AS BIGINT) AS chars FROM s""")
+def premium_decomposition(spark, d):
+    """Derived text against the same documents' raw text: premiums under both patterns and their ratio, the regex factor."""
+    c = docs(spark, d).select("lang", X.pretoken_count(F.col("text"), P.PAT_B).alias("te"), tr().alias("t"))
+    s = c.groupBy("lang").agg(F.sum("te").alias("te"), F.sum(X.pretoken_count(F.col("t"), P.PAT_A)).alias("a"), F.sum(X.pretoken_count(F.col("t"), P.PAT_B)).alias("b"), F.sum(F.octet_length("t")).alias("bytes"), F.sum(F.length("t")).alias("chars"))
+    return s.select("lang", ratio(F.col("a"), F.col("te")).alias("premium_a"), ratio(F.col("b"), F.col("te")).alias("premium_b"), ratio(F.col("a"), F.col("b")).alias("regex_factor"), ratio(F.col("a"), F.col("bytes")).alias("tokens_per_byte_a"), ratio(F.col("bytes"), F.col("b")).alias("bytes_per_token_b"), F.col("chars").cast("bigint").alias("chars"))
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT source, string_agg(lang || ':' || CAST(n AS VARCHAR), ',' ORDER BY lang) AS sig FROM c GROUP BY source)
+SELECT sig, min(source) AS representative, count(*) AS members, string_agg(source, ',' ORDER BY source) AS names FROM s GROUP BY sig""")
+def alias_groups(spark, d):
+    """Sources with equal counts in every language: the first names the group."""
+    c = docs(spark, d).groupBy("source", "lang").agg(F.count("*").alias("n"))
+    sig = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lang", "n"))), lambda x: F.concat_ws(":", x["lang"], x["n"].cast("string"))), ",")
+    return c.groupBy("source").agg(sig.alias("sig")).groupBy("sig").agg(F.min("source").alias("representative"), F.count("*").alias("members"), F.array_join(F.sort_array(F.collect_list("source")), ",").alias("names"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'no-regex', 'none (no regex pre-tokenizer)'), (2, 'letter-regex', 'letters-only (\\p{L}+)'), (3, 'mark-regex', 'mark-aware'), (4, 'mark-regex', 'mark-aware'), (5, 'other-regex', 'other'), (6, 'letter-regex', 'other')) AS t(id, kind, diagnostic)""")
+def regex_class(spark, d):
+    cases = [[], [P.PAT_A], [P.repair(P.PAT_A)], [r"\w+|[^\w\s]+"], [r"[a-z]+"], [r"\p{Lu}+"]]
+    return spark.createDataFrame([(k, P.pattern_class(c), P.diagnostic_class(c)) for k, c in enumerate(cases, 1)], "id int, kind string, diagnostic string")
+
+
+@query("SELECT lang, CASE WHEN count(*) FILTER (WHERE n_chars > 2000) > 1000 THEN 'added_tokens' WHEN count(*) > 150 THEN 'merges' ELSE 'none' END AS mechanism FROM documents GROUP BY lang")
+def mechanism_class(spark, d):
+    c = docs(spark, d).groupBy("lang").agg(F.count_if(F.col("n_chars") > 2000).alias("added"), F.count("*").alias("new"))
+    return c.select("lang", F.when(F.col("added") > 1000, "added_tokens").when(F.col("new") > 150, "merges").otherwise("none").alias("mechanism"))
+
+
+# ---- pieces, scores, resampling ----------------------------------------------------------------------------------------------------
+
+PIECES_SQL = "q AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents), u AS (SELECT doc_id, lang, unnest(range(0, len(l))) AS piece_id, unnest(l) AS x FROM q), p AS (SELECT doc_id, lang, piece_id, strlen(x) AS bytes FROM u WHERE x <> '')"
+SCORES_SQL = PIECES_SQL + ", s AS (SELECT *, bytes * 0.95::DOUBLE + (piece_id % 7) * 0.5::DOUBLE AS r0, bytes * 0.93::DOUBLE + (doc_id % 5) * 0.4::DOUBLE AS r1, bytes * 0.90::DOUBLE + (piece_id % 3) * 0.3::DOUBLE AS r2 FROM p)"
+
+
+def pieces(spark, d):
+    return docs(spark, d).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("piece_id", "x")).where("x <> ''").select("doc_id", "lang", F.col("piece_id").cast("bigint").alias("piece_id"), F.octet_length("x").cast("bigint").alias("bytes"))
+
+
+def scores(spark, d):
+    return pieces(spark, d).withColumns({"r0": F.col("bytes") * 0.95 + F.col("piece_id") % 7 * 0.5, "r1": F.col("bytes") * 0.93 + F.col("doc_id") % 5 * 0.4, "r2": F.col("bytes") * 0.90 + F.col("piece_id") % 3 * 0.3})
+
+
+@query()
+def piece_packing(spark, d):
+    """Greedy pieces of at most 2,000 bytes."""
+    c = docs(spark, d).select("doc_id", F.posexplode(X.packed_pieces(F.col("text"))).alias("piece_id", "piece"))
+    return c.select("doc_id", "piece_id", F.octet_length("piece").alias("bytes"))
+
+
+@query("WITH " + SCORES_SQL + " SELECT lang, round(CAST(sum(r0) / sum(bytes) AS DOUBLE), 6) AS r0, round(CAST(sum(r1) / sum(bytes) AS DOUBLE), 6) AS r1, round(CAST(sum(r2) / sum(bytes) AS DOUBLE), 6) AS r2 FROM s GROUP BY lang")
+def bpb_by_arm(spark, d):
+    return scores(spark, d).groupBy("lang").agg(*(F.round((F.sum(r) / F.sum("bytes")).cast("double"), 6).alias(r) for r in ("r0", "r1", "r2")))
+
+
+@query("WITH " + PIECES_SQL + ", w AS (SELECT doc_id, piece_id, bytes, coalesce(sum(CASE WHEN bytes < 300 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY piece_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM p) SELECT doc_id, CAST(c AS BIGINT) AS cluster_id, count(*) AS pieces, CAST(sum(bytes) AS BIGINT) AS bytes FROM w GROUP BY ALL")
+def cluster_ids(spark, d):
+    """A short piece closes its cluster; runs within a document."""
+    w = Window.partitionBy("doc_id").orderBy("piece_id").rowsBetween(Window.unboundedPreceding, -1)
+    c = pieces(spark, d).withColumn("cluster_id", F.coalesce(F.sum((F.col("bytes") < 300).cast("bigint")).over(w), F.lit(0)))
+    return c.groupBy("doc_id", "cluster_id").agg(F.count("*").alias("pieces"), F.sum("bytes").alias("bytes"))
+
+
+def _boot_sql(units: str, b: int) -> str:
+    return f"""WITH {SCORES_SQL}, c AS ({units}), n AS (SELECT count(*) AS n FROM c), k AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM c),
+g AS (SELECT b, i, ('0x' || substr(md5(concat_ws(':', b, i)), 1, 8))::BIGINT % n AS idx FROM range({b}) x(b), n, range(n.n) y(i)),
+r AS (SELECT b, sum(d) / sum(bytes) AS r FROM g JOIN k USING (idx) GROUP BY b)
+SELECT round(CAST((SELECT sum(d) / sum(bytes) FROM c) AS DOUBLE), 6) AS estimate, (SELECT n FROM n) AS units, round(quantile_cont(CAST(r AS DOUBLE), 0.025), 6) AS lo, round(quantile_cont(CAST(r AS DOUBLE), 0.975), 6) AS hi FROM r"""
+
+
+@query(_boot_sql("SELECT doc_id, sum(r2 - r0) AS d, sum(bytes) AS bytes FROM s GROUP BY doc_id", 50))
+def bootstrap_clustered(spark, d):
+    """Difference of two arms' bits per byte, resampled by document: pieces are summed to documents before anything is drawn."""
+    c = scores(spark, d).groupBy("doc_id").agg(F.sum(F.col("r2") - F.col("r0")).alias("d"), F.sum("bytes").alias("bytes"))
+    r = stats.bootstrap_ratio(spark, c, "d", "bytes", "doc_id", 50)
+    return r.select(F.round(F.col("estimate").cast("double"), 6).alias("estimate"), "units", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query()
+def bootstrap_exact(spark, d):
+    """The same interval by language with numpy's generator, as published protocols draw it."""
+    c = scores(spark, d).groupBy("lang", "doc_id").agg(F.sum(F.col("r2") - F.col("r0")).cast("double").alias("d"), F.sum("bytes").alias("bytes"))
+    return stats.bootstrap_exact(c, "lang", "d", "bytes", "doc_id", 200)
+
+
+@query("""SELECT id, CASE WHEN hi < 0 THEN 'better' WHEN hi < 0.01 THEN 'non-inferior' WHEN lo > 0 THEN 'worse' ELSE 'no detectable difference' END AS verdict
+FROM (VALUES (1, -0.02, -0.01), (2, -0.01, 0.0), (3, 0.004, 0.007), (4, 0.02, 0.03), (5, -0.02, 0.02), (6, 0.0, 0.02), (7, 0.001, 0.01)) AS t(id, lo, hi)""")
+def verdicts(spark, d):
+    rows = [(1, -0.02, -0.01), (2, -0.01, 0.0), (3, 0.004, 0.007), (4, 0.02, 0.03), (5, -0.02, 0.02), (6, 0.0, 0.02), (7, 0.001, 0.01)]
+    return spark.createDataFrame(rows, "id int, lo double, hi double").select("id", stats.verdict(F.col("lo"), F.col("hi")).alias("verdict"))
+
+
+@query("WITH " + SCORES_SQL + " SELECT lang, piece_id, round(CAST(avg((r0 + r1) / 2) AS DOUBLE), 6) AS nll FROM s GROUP BY ALL")
+def seed_average(spark, d):
+    """Element-wise mean over two runs, by language and position."""
+    long = scores(spark, d).select("lang", "piece_id", F.explode(F.array("r0", "r1")).alias("nll"))
+    return long.groupBy("lang", "piece_id").agg(F.round(F.avg("nll").cast("double"), 6).alias("nll"))
+
+
+@query("WITH " + SCORES_SQL + """, m AS (SELECT lang, CAST(bytes AS DOUBLE) AS bytes, CAST(r0 AS DOUBLE) / 100 AS a, CASE WHEN r0 = r1 THEN NULL ELSE CAST(r1 AS DOUBLE) / 100 END AS b FROM s),
+t AS (SELECT lang, bytes, a, b, CASE WHEN b IS NULL THEN a ELSE least(a, b) - ln(1 + exp(-abs(a - b))) END AS joint FROM m)
+SELECT lang, round(sum(joint) / ln(2) / sum(bytes), 6) AS bpb, round(avg(CASE WHEN b < a THEN 1.0 ELSE 0.0 END), 6) AS alt_wins FROM t GROUP BY lang""")
+def two_way_score(spark, d):
+    """-ln(e^-a + e^-b) in stable form; identical sequences count once."""
+    m = scores(spark, d).select("lang", "bytes", (F.col("r0").cast("double") / 100).alias("a"), F.when(F.col("r0") != F.col("r1"), F.col("r1").cast("double") / 100).alias("b"))
+    both = F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b") - F.log(1 + F.exp(-F.abs(F.col("a") - F.col("b")))))
+    return m.withColumn("both", both).groupBy("lang").agg(F.round(F.sum("both") / F.log(F.lit(2.0)) / F.sum("bytes"), 6).alias("bpb"), F.round(F.avg(F.when(F.col("b") < F.col("a"), 1.0).otherwise(0.0)), 6).alias("alt_wins"))
+
+
+@query("WITH " + SCORES_SQL + ", g AS (SELECT lang, CAST(sum(r2 - r0) / sum(bytes) AS DOUBLE) AS diff FROM s GROUP BY lang) SELECT w.lang, w.arm, round(diff, 6) AS diff, g.lang IS NULL OR w.arm = 'x-r0' AS missing FROM (SELECT l AS lang, a AS arm FROM (VALUES ('en'), ('de'), ('fr'), ('es'), ('ne')) x(l), (VALUES ('r2-r0')) y(a)) w LEFT JOIN g ON w.lang = g.lang")
+def test_matrix(spark, d):
+    """A fixed list of comparisons; those without data are reported, not failed."""
+    g = scores(spark, d).groupBy("lang").agg((F.sum(F.col("r2") - F.col("r0")) / F.sum("bytes")).cast("double").alias("diff"))
+    want = spark.createDataFrame([(x, "r2-r0") for x in ("en", "de", "fr", "es", "ne")], "lang string, arm string")
+    return want.join(g, "lang", "left").select("lang", "arm", F.round("diff", 6).alias("diff"), F.col("diff").isNull().alias("missing"))
+
+
+@query("WITH " + SCORES_SQL + " SELECT lang, round(CAST(sum(r2 - r0) / sum(bytes) AS DOUBLE), 6) AS diff, dense_rank() OVER (ORDER BY lang) - 1 AS rank, count(*) AS pieces FROM s WHERE piece_id < 3 GROUP BY lang")
+def equal_compute(spark, d):
+    """The comparison on the first pieces only, groups ranked anew."""
+    g = scores(spark, d).where("piece_id < 3").groupBy("lang").agg(F.round((F.sum(F.col("r2") - F.col("r0")) / F.sum("bytes")).cast("double"), 6).alias("diff"), F.count("*").alias("pieces"))
+    return g.select("lang", "diff", (F.dense_rank().over(Window.orderBy("lang")) - 1).cast("bigint").alias("rank"), "pieces")
+
+
+@query("SELECT d.lang, count(*) AS n, round(avg(quality), 6) AS acc, round(avg(CASE WHEN toxic = quality THEN 1.0 ELSE 0.0 END), 6) AS agree FROM labels JOIN documents d USING (doc_id) GROUP BY d.lang")
+def accuracy_by_lang(spark, d):
+    j = table(spark, d, "labels").join(docs(spark, d).select("doc_id", "lang"), "doc_id")
+    return j.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("acc"), F.round(F.avg(F.when(F.col("toxic") == F.col("quality"), 1.0).otherwise(0.0)), 6).alias("agree"))
+
+
+@query("SELECT l_orderkey % 4 AS opt, count(*) AS n, max_by(l_linenumber, l_extendedprice * 1000 + l_linenumber) AS best FROM lineitem GROUP BY ALL")
+def option_argmax(spark, d):
+    return table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 4).alias("opt")).agg(F.count("*").alias("n"), F.max_by("l_linenumber", F.col("l_extendedprice") * 1000 + F.col("l_linenumber")).alias("best"))
+
+
+# ---- vocabulary extension ----------------------------------------------------------------------------------------------------------
+
+
+def letter_types(spark, d):
+    t = word_rows(spark, d).groupBy(F.regexp_replace(F.lower("w"), "[^a-z]", "").alias("t")).agg(F.count("*").alias("n")).where("t <> ''")
+    return t.select(F.split("t", "").alias("symbols"), "n")
+
+
+@query(f"""WITH t AS ({WORDS}), c AS (SELECT regexp_replace(lower(w), '[^a-z]', '', 'g') AS t, count(*) AS n FROM t GROUP BY 1), s AS (SELECT string_split(t, '') AS s, n FROM c WHERE t <> ''),
+p AS (SELECT unnest(list_zip(s[1:len(s)-1], s[2:])) AS z, n FROM s WHERE len(s) > 1) SELECT z[1] AS "left", z[2] AS "right", CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""")
+def pair_counts(spark, d):
+    """Weighted adjacent-pair counts over distinct types: the first round of merge training."""
+    return bpe.pair_counts(letter_types(spark, d))
+
+
+@query()
+def bpe_train_k(spark, d):
+    """Six greedy merges."""
+    got = bpe.train(spark, letter_types(spark, d), 6)
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(got)], "rank int, left string, right string, n bigint")
+
+
+@query()
+def bpe_filter_closure(spark, d):
+    """Trained merges that a filter and their parts' survival leave."""
+    got = bpe.closed_filter([m[:2] for m in bpe.train(spark, letter_types(spark, d), 6)], set("abcdefghijklmnopqrstuvwxyz"), lambda s: "e" in s, 4)
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(got)], "rank int, left string, right string")
+
+
+@query()
+def bpe_token_counts(spark, d):
+    """Tokens, bytes and losslessness of a published byte-level vocabulary, by language."""
+    import public_tokenizers
+
+    e = bpe.encode(docs(spark, d).select("lang", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return e.groupBy("lang").agg(F.sum(F.size("ids")).alias("tokens"), F.sum(F.octet_length("text")).alias("bytes"), F.bool_and("lossless").alias("lossless"))
+
+
+@query("SELECT label, i AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 4) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY ALL")
+def embedding_mean_init(spark, d):
+    """A new row is the element-wise mean of its constituents' rows."""
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("p", "x"))
+    return e.groupBy("label", (F.col("p") + 1).cast("bigint").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))
+
+
+# ---- token streams -----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, md5('7:' || role || ':' || conv_id || ':' || turn) AS k FROM conversations")
+def interleave_order(spark, d):
+    """The sort key of a seeded interleave: order by it."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.concat_ws(":", F.lit("7"), "role", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary")).alias("k"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, len(string_split(text, ' ')) + 2 AS n FROM conversations)
+SELECT conv_id, turn, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (ORDER BY conv_id, turn) - n AS BIGINT) AS pos FROM w""")
+def stream_positions(spark, d):
+    """Start of each turn in the stream, begin and end marks counted."""
+    w = table(spark, d, "conversations").select("conv_id", "turn", (F.size(F.split("text", " ")) + 2).cast("bigint").alias("n"))
+    by_conv = w.groupBy("conv_id").agg(F.sum("n").alias("n"))
+    base = prep.running(by_conv, "n", "conv_id").select("conv_id", F.col("before").alias("base"))
+    inner = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return w.join(base, "conv_id").select("conv_id", "turn", "n", (F.col("base") + inner).alias("pos"))
+
+
+@query("SELECT role, count(*) AS turns, CAST(sum(len(string_split(text, ' ')) + 2) AS BIGINT) AS tokens FROM conversations GROUP BY role")
+def stream_accounting(spark, d):
+    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.size(F.split("text", " ")) + 2).cast("bigint").alias("tokens"))
+
+
+@query("""SELECT doc_id, s AS "start", least(s + 2048, n) AS stop, CASE WHEN s = 0 THEN 0 ELSE 1024 END AS first FROM (SELECT doc_id, length(text) AS n, unnest(range(0, length(text), 1024)) AS s FROM documents)""")
+def sliding_score_windows(spark, d):
+    """Windows of 2,048 at stride 1,024; each scores only what the one before did not."""
+    n = docs(spark, d).select("doc_id", F.length("text").cast("bigint").alias("n")).where("n > 0")
+    w = n.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(1024).cast("bigint"))).alias("start"))
+    return w.select("doc_id", "start", F.least(F.col("start") + 2048, F.col("n")).alias("stop"), F.when(F.col("start") == 0, 0).otherwise(1024).alias("first"))
+
+
+@query("SELECT s AS step, round(CASE WHEN s < 10 THEN 0.001 * (s + 1) / 10 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * (s - 10) / 90.0))) END, 9) AS lr FROM range(100) r(s)")
+def lr_schedule(spark, d):
+    s = F.col("step")
+    return spark.range(100).select(F.col("id").alias("step")).select("step", F.round(F.when(s < 10, 0.001 * (s + 1) / 10).otherwise(0.001 * (0.1 + 0.9 * 0.5 * (1 + F.cos(F.pi() * (s - 10) / 90.0)))), 9).alias("lr"))
+
+
+@query("SELECT s AS step, r AS rank, m AS micro, s * 32 + (m * 4 + r) * 2 AS base FROM range(10) a(s), range(4) b(r), range(4) c(m)")
+def step_plan(spark, d):
+    """First window of each rank's micro-batch."""
+    grid = spark.range(160).select(F.floor(F.col("id") / 16).alias("step"), F.floor(F.col("id") / 4 % 4).alias("rank"), (F.col("id") % 4).alias("micro"))
+    return grid.withColumn("base", F.col("step") * 32 + (F.col("micro") * 4 + F.col("rank")) * 2)
+
+
+# ---- reports -----------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr, coalesce(CAST(max(n_chars) FILTER (WHERE lang = 'fr') AS VARCHAR), '--') AS longest_fr FROM documents GROUP BY source")
+def audit_pivot(spark, d):
+    """Long to wide with a placeholder for missing cells."""
+    g = docs(spark, d).groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").cast("string").alias("m"))
+    return g.select("source", *(F.coalesce(f"{x}_n", F.lit(0)).alias(x) for x in ("de", "en", "es", "fr")), F.coalesce("fr_m", F.lit("--")).alias("longest_fr"))
+
+
+@query("SELECT lang, source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+def stage_table(spark, d):
+    return docs(spark, d).rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT o_orderpriority, round(avg(d), 6) AS mean, count(*) AS orders FROM (SELECT l_orderkey, sum(l_extendedprice * l_discount) AS d FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def cluster_sums_by_attribute(spark, d):
+    """Cluster sums joined with their attributes: lines to orders before the join."""
+    c = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("d"))
+    j = c.join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), c.l_orderkey == F.col("o_orderkey"))
+    return j.groupBy("o_orderpriority").agg(F.round(F.avg("d"), 6).alias("mean"), F.count("*").alias("orders"))
