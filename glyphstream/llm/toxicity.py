@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier on the presence of words and word beginnings, trained in numpy from confirmed toxic texts (P) and texts of unknown class (U). With class prior pi
+A linear classifier on the presence of words and word beginnings, trained in numpy from confirmed toxic texts (P) and texts drawn from all, their class unread (U). With class prior pi
 (the toxic share among labelled training rows), the risk is pi * R(P, +) + max(0, R(U, -) - pi * R(P, -)): unlabelled texts are
 negatives but for the prior's share, and an estimate below zero is overfitting, which the step then undoes.
 Training takes a bounded sample of both (`per_class` texts each); scoring takes every text.
@@ -87,14 +87,16 @@ def train_pu(pos: list[set[str]], unl: list[set[str]], prior: float, least: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> tuple[dict[str, float], float]:
-    """docs (doc_id, text) to learn from, labels (doc_id, toxic). P: labelled toxic; U: every other text, its label unread.
+    """docs (doc_id, text) to learn from, labels (doc_id, toxic). P: labelled toxic; U: a sample of all texts, labels unread.
 
     Repeated labels of one doc_id: toxic if any is. Null labels and texts are left out.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = docs.select("doc_id").join(known, "doc_id", "left_semi").count()
-    kind = docs.where("text is not null").join(known.where("toxic = 1").select("doc_id", F.lit(1).alias("p")), "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(0)))
-    rows = sample_by_class(kind.select("doc_id", "text", "p"), "doc_id", "p", per_class)[0].mapInArrow(_word_sets, "p int, words array<string>").collect()
+    texts = docs.where("text is not null").select("doc_id", "text")
+    positive = texts.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    kind = positive.withColumn("p", F.lit(1)).union(texts.withColumn("p", F.lit(0)))
+    rows = sample_by_class(kind, "doc_id", "p", per_class)[0].mapInArrow(_word_sets, "p int, words array<string>").collect()
     toxic = docs.select("doc_id").join(known.where("toxic = 1"), "doc_id", "left_semi").count()
     parts = [[set(r.words) for r in rows if r.p == k] for k in (1, 0)]
     return train_pu(*parts, prior=toxic / n if n else 0.5)
