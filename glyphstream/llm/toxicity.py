@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm.common import crc_mod, read, small_batches
+from glyphstream.llm.common import crc_mod, materialize, read, small_batches
 from glyphstream.llm.langid import sample_by_class
 
 WORD = re.compile(r"\w+")
@@ -28,40 +28,27 @@ def words_of(text: str | None) -> set[str]:
     return words | {"^" + w[:5] for w in words if len(w) > 5} | {"^" + w[:4] for w in words if len(w) > 4}
 
 
-def features(pos: list[set[str]], unl: list[set[str]], least: int, z: float, most: int) -> list[str]:
-    """Words whose share of texts differs between P and U by at least z standard errors, strongest first."""
-    count: dict[str, list[int]] = {}
-    for k, texts in enumerate((pos, unl)):
-        for t in texts:
-            for w in t:
-                count.setdefault(w, [0, 0])[k] += 1
-    found = []
-    for w, (a, b) in count.items():
-        if a + b >= least:
-            p = (a + b) / (len(pos) + len(unl))
-            se = (p * (1 - p) * (1 / len(pos) + 1 / len(unl))) ** 0.5
-            d = abs(a / len(pos) - b / len(unl)) / se if se else 0.0
-            if d >= z:
-                found.append((-d, w))
-    return [w for _, w in sorted(found)[:most]]
-
-
-def train_pu(pos: list[set[str]], unl: list[set[str]], prior: float, least: int = 5, z: float = 6.0, most: int = 4096, steps: int = 1500, rate: float = 0.1, l2: float = 1e-4) -> tuple[dict[str, float], float]:
-    """(weight of each word, bias). Without texts of both kinds: no weights, and the prior's log odds as bias."""
+def features(rows: DataFrame, n_pos: int, n_unl: int, least: int, z: float, most: int) -> list[str]:
+    """Words whose share of texts differs between P and U by at least z standard errors, strongest first; `most` at most.
+
+    Counted on the executors over the sampled texts (p, words); only the chosen words reach the driver.
+    """
+    count = rows.select("p", F.explode("words").alias("w")).groupBy("w").agg(F.sum("p").alias("a"), F.count("*").alias("n")).where(F.col("n") >= least)
+    share = F.col("n") / (n_pos + n_unl)
+    gap = F.abs(F.col("a") / n_pos - (F.col("n") - F.col("a")) / n_unl) / F.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_unl))
+    found = count.where(share < 1).withColumn("z", gap).where(F.col("z") >= z)
+    return [r.w for r in found.orderBy(F.desc("z"), "w").limit(most).collect()]
+
+
+def train_pu(pos: list[list[int]], unl: list[list[int]], names: list[str], prior: float, steps: int = 1500, rate: float = 0.1, l2: float = 1e-4) -> tuple[dict[str, float], float]:
+    """(weight of each name, bias) from texts given as positions in names. Without texts of both kinds: no weights, the prior's log odds."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     bias = float(np.log(prior / (1 - prior)))
     if not pos or not unl:
         return {}, bias
-    names = features(pos, unl, least, z, most)
-    at = {w: k for k, w in enumerate(names)}
 
     def matrix(texts):
-        rows, cols = [], []
-        for i, t in enumerate(texts):
-            hit = [at[w] for w in t if w in at]
-            rows += [i] * len(hit)
-            cols += hit
-        return np.array(rows, np.int64), np.array(cols, np.int64), len(texts)
+        return np.repeat(np.arange(len(texts)), list(map(len, texts))), np.array([k for t in texts for k in t], np.int64), len(texts)
 
     P, U = matrix(pos), matrix(unl)
     w, m, v = (np.zeros(len(names) + 1) for _ in range(3))
@@ -86,20 +73,32 @@ def train_pu(pos: list[set[str]], unl: list[set[str]], prior: float, least: int
     return dict(zip(names, w[:-1].tolist())), float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> tuple[dict[str, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least: int = 5, z: float = 6.0, most: int = 4096) -> tuple[dict[str, float], float]:
     """docs (doc_id, text) to learn from, labels (doc_id, toxic). P: labelled toxic; U: a sample of all texts, labels unread.
 
     Repeated labels of one doc_id: toxic if any is. Null labels and texts are left out.
     """
+    spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = docs.select("doc_id").join(known, "doc_id", "left_semi").count()
     texts = docs.where("text is not null").select("doc_id", "text")
     positive = texts.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
     kind = positive.withColumn("p", F.lit(1)).union(texts.withColumn("p", F.lit(0)))
-    rows = sample_by_class(kind, "doc_id", "p", per_class)[0].mapInArrow(_word_sets, "p int, words array<string>").collect()
+    rows = materialize(spark, sample_by_class(kind, "doc_id", "p", per_class)[0].mapInArrow(_word_sets, "p int, words array<string>"), "toxicity-sample")
+    sizes = {r.p: r["count"] for r in rows.groupBy("p").count().collect()}
     toxic = docs.select("doc_id").join(known.where("toxic = 1"), "doc_id", "left_semi").count()
-    parts = [[set(r.words) for r in rows if r.p == k] for k in (1, 0)]
-    return train_pu(*parts, prior=toxic / n if n else 0.5)
+    names = features(rows, sizes[1], sizes[0], least, z, most) if len(sizes) == 2 else []
+    at = {w: k for k, w in enumerate(names)}
+
+    def positions(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[at[w] for w in t if w in at] for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["p", "at"])
+
+    got = rows.mapInArrow(positions, "p int, at array<int>").collect() if names else []
+    parts = [[r["at"] for r in got if r.p == k] for k in (1, 0)]
+    return train_pu(*parts, names, prior=toxic / n if n else 0.5)
 
 
 def _word_sets(batches):
