@@ -19,6 +19,12 @@ from glyphstream.llm.common import crc_mod, read, small_batches
 
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def letters_of(text: str) -> bytes:
+    """Lower-case words, one space around each: marks and digits, which no language owns, would win matches of their own."""
+    return (" " + " ".join(WORD.findall(text.lower())) + " ").encode("utf-8", "replace")
 
 
 def sample_by_class(rows: DataFrame, key: str, cls: str, per_class: int, most_classes: int = 512) -> tuple[DataFrame, list]:
@@ -40,7 +46,7 @@ def dictionaries(labelled: DataFrame, per_lang: int = 64, dict_bytes: int = 65_5
     part = rows.select("lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit("order")).alias("k"), F.substring("text", 1, dict_bytes).alias("text"))
     texts: dict[str, list[bytes]] = {}
     for lang, _, text in sorted(part.collect(), key=lambda r: (r[0], r[1], r[2])):
-        texts.setdefault(lang, []).append(text.lower().encode())
+        texts.setdefault(lang, []).append(letters_of(text))
     return {lang: b"\n".join(texts[lang])[:dict_bytes] for lang in langs if lang in texts}
 
 
@@ -56,7 +62,7 @@ class Compressor:
         self.coders = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(dicts[x], dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how).compress for x in self.langs]
 
     def sizes(self, text: str) -> list[int]:
-        raw = text.lower().encode("utf-8", "replace")
+        raw = letters_of(text)
         parts = [raw[k : k + self.block] for k in range(0, len(raw), self.block)]
         return [sum(len(c(p)) for p in parts) for c in self.coders]
 
@@ -73,7 +79,7 @@ class Compressor:
         return lang, 1.0 / sum(math.exp(-(s - best) / (1.0 + 0.01 * best)) for s in sizes), (second - best) / second
 
 
-def identify(spark: SparkSession, docs: DataFrame, dicts: dict[str, bytes], reject: float = 0.002, least_bytes: int = 200) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, dicts: dict[str, bytes], reject: float = 0.0005, least_bytes: int = 200) -> DataFrame:
     """docs with columns lang_pred, score, margin, rejected added (they replace columns of these names).
 
     A text is rejected if it has no letter, or if its margin is below `reject`; texts under least_bytes are too short for a margin
