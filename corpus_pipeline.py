@@ -16,7 +16,7 @@ from glyphstream.llm.packing import pack_documents
 from glyphstream.llm.secrets import redact, scan
 from glyphstream.llm.simhash import near_duplicates
 
-#: No SQL expresses zstandard sizes, SimHash components or the tokenizer; tests/llm holds run() against a brute-force version.
+#: No SQL expresses zstandard sizes, SimHash components or the tokenizer. tests/llm holds the stages' operators against brute force; run() as a whole has no such test yet.
 ORACLE_SQL = None
 
 
