@@ -16,7 +16,7 @@ from glyphstream.llm.packing import pack_documents
 from glyphstream.llm.secrets import redact, scan
 from glyphstream.llm.simhash import near_duplicates
 
-#: No SQL expresses zstandard sizes, SimHash components or the tokenizer. tests/llm holds the stages' operators against brute force; run() as a whole has no such test yet.
+#: No SQL expresses zstandard sizes, SimHash components or the tokenizer; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -27,20 +27,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id. Rows that share a doc_id count as copies by text.
-
-    A component whose doc_ids are all null keeps the row with the first text.
+    """One document of each group of near copies: that with the smallest doc_id; where rows of one group share it (or all ids are
+    null), the one with the smallest text hash. Rows of other groups that have the same doc_id, or none, stay.
     """
-    kept = near_duplicates(spark, docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    # a limit by rank is applied before the shuffle too: rows that share one id do not meet in one task
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
+    lowest = near_duplicates(spark, docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = lowest.groupBy("component").agg(F.max("doc_id").alias("id"), F.min("text_hash").alias("hash")).drop("component")
+    rows = docs.withColumn("__h", F.xxhash64("text"))
+    rows = rows.join(kept, rows.doc_id.eqNullSafe(kept.id) & (rows["__h"] == kept.hash), "left_semi")
+    # a limit by rank is applied before the shuffle too: repeated rows do not meet in one task
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("text"))).where("__n = 1").drop("__n", "__h")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    hits = contaminated(spark, docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    """Documents without a passage of the benchmark; rows are told apart by doc_id and text, so null and shared ids do no harm."""
+    hits = contaminated(spark, docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.withColumn("__h", F.xxhash64("text"))
+    return rows.join(hits, rows.doc_id.eqNullSafe(hits.id) & (rows["__h"] == hits.hash), "left_anti").drop("__h")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

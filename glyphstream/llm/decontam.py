@@ -22,7 +22,7 @@ from glyphstream.llm.common import read, small_batches
 
 WORD = re.compile(r"\w+")
 MULT = np.uint64(0x100000001B3)
-PAIRS = "doc_id bigint, item_id bigint, similarity double, word_start bigint, n_words bigint"
+PAIRS = "doc_id bigint, text_hash bigint, item_id bigint, similarity double, word_start bigint, n_words bigint"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -141,7 +141,8 @@ class Index:
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = 20, block_bytes: int = 16 << 20) -> DataFrame:
-    """(doc_id, item_id, similarity, word_start, n_words): for each row of docs the items it contains, with their best window.
+    """(doc_id, text_hash, item_id, similarity, word_start, n_words): for each row of docs the items it contains, with their best
+    window; text_hash is xxhash64 of the text, which tells rows apart whose ids are null or equal.
 
     Words are maximal runs of word characters, lower-cased. Items of fewer than n words are one shingle. The benchmark's size is
     summed first; it goes to the workers in blocks of at most block_bytes of text each (one larger item is a block alone),
@@ -161,16 +162,16 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n:
             import pyarrow as pa
 
             index = Index(held.value, n, radius, least)
-            schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("word_start", pa.int64()), ("n_words", pa.int64())])
+            schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("word_start", pa.int64()), ("n_words", pa.int64())])
             for b in batches:
-                rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in index.matches(t)]
+                rows = [(d, h, *m) for d, h, t in zip(*(c.to_pylist() for c in b.columns)) for m in index.matches(t)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        got = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(match, PAIRS)
+        got = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), "text").mapInArrow(match, PAIRS)
         found = got if found is None else found.union(got)
     return found
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return contaminated(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")

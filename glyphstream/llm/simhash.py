@@ -49,16 +49,17 @@ def fingerprint(raw: bytes, n: int = 3, chunk: int = 65_536) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, fp bigint, the fingerprint's bits); null texts have fingerprint zero."""
+    """docs (doc_id, text) -> (doc_id, text_hash, fp bigint, the fingerprint's bits); null texts have fingerprint zero."""
 
     def hashed(batches):
         import pyarrow as pa
 
         for b in batches:
-            fp = np.array([fingerprint(x, n) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(x, n) for x in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("raw")).mapInArrow(hashed, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_bytes().alias("raw"))
+    return rows.mapInArrow(hashed, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _remainders(bits: int, poly: int) -> np.ndarray:
@@ -147,7 +148,8 @@ def links(spark: SparkSession, fps: DataFrame, within: int = 3) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, within: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id that links reach.
+    """(doc_id, text_hash, fp, component, component_id) for each row of docs; component_id is the smallest doc_id that links reach,
+    component one fingerprint that names the component where ids do not, and text_hash is xxhash64 of the text.
 
     Null and word-less texts have fingerprint zero and link like any other. A null doc_id is never a component_id unless the
     component has no other. Repeated rows stay repeated. An empty table gives no rows.
@@ -158,7 +160,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, within: int = 3) -> Da
     comp = connected_components(spark, links(spark, groups.select("fp"), within))
     named = groups.join(comp, groups.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     low = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    return held.join(named.join(low, "c").select("fp", "component_id"), "fp")
+    return held.join(named.join(low, "c").select("fp", F.col("c").alias("component"), "component_id"), "fp")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
