@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphstream.functions import patterns as P
 from glyphstream.functions import text as X
-from glyphstream.operators import bpe, prep, stats
+from glyphstream.operators import bpe, prep, stats, tokens
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -414,6 +414,91 @@ def bpe_token_counts(spark, d):
     return e.groupBy("lang").agg(F.sum(F.size("ids")).alias("tokens"), F.sum(F.octet_length("text")).alias("bytes"), F.bool_and("lossless").alias("lossless"))
 
 
+def byte_config() -> dict:
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        return json.load(f)
+
+
+@query()
+def token_integrity(spark, d):
+    """Where a published vocabulary cuts the derived text, by language: tokens that start with a mark, broken syllables, cut characters."""
+    import public_tokenizers
+
+    e = bpe.encode(docs(spark, d).select("lang", tr().alias("text")), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.integrity(tokens.cuts(e, {i: len(b) for i, b in tokens.id_bytes(byte_config()).items()}), "lang")
+
+
+ADDED = ["in", "ing", "an", "and", "er", "en", " de", " the"]
+ADDED_RE = "|".join(sorted(ADDED, key=lambda t: (-len(t), t)))
+
+
+@query(f"SELECT lang, CAST(coalesce(sum(len(regexp_extract_all(text, '{ADDED_RE}'))), 0) AS BIGINT) AS n FROM documents GROUP BY lang")
+def added_token_counts(spark, d):
+    """Matches of added tokens, leftmost and longest, by language."""
+    return docs(spark, d).groupBy("lang").agg(F.coalesce(F.sum(tokens.added_count(F.col("text"), ADDED)), F.lit(0)).alias("n"))
+
+
+@query()
+def added_token_pathologies(spark, d):
+    """Added tokens that begin or end inside a word, by language, with and without the single-word rule."""
+    out = None
+    for rule in (False, True):
+        m = docs(spark, d).select("lang", F.explode(tokens.added_matches(F.col("text"), ADDED, rule, r"\p{L}")).alias("m"))
+        got = m.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("m.starts_inside").alias("starts_inside"), F.count_if("m.ends_inside").alias("ends_inside")).withColumn("single_word", F.lit(rule))
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query()
+def script_fragments(spark, d):
+    """Tokens of a published vocabulary that hold a script's characters, or its characters and their pieces."""
+    v = spark.createDataFrame(list(tokens.id_bytes(byte_config()).items()), "id int, bytes binary")
+    out = None
+    for script in ("Deva", "Mymr", "Hang"):
+        n = lambda frag: tokens.script_tokens(v, script, frag).agg(F.count("*").alias("with_fragments" if frag else "whole"))  # noqa: B023, E731
+        got = n(False).crossJoin(n(True)).select(F.lit(script).alias("script"), "whole", "with_fragments")
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query()
+def config_diff(spark, d):
+    """What a config keeps of another: here the vocabulary with merges trained on the tables put after its own."""
+    base = byte_config()
+    merges = [m[:2] for m in bpe.train(spark, letter_types(spark, d), 6)]
+    vocab, top = dict(base["model"]["vocab"]), 1 + max(t["id"] for t in base["added_tokens"])
+    for a, b in merges:
+        vocab.setdefault(a + b, top + len(vocab) - len(base["model"]["vocab"]))
+    other = base | {"model": base["model"] | {"vocab": vocab, "merges": base["model"]["merges"] + [list(m) for m in merges]}, "added_tokens": base["added_tokens"] + [{"id": top + 100, "content": "<|x|>", "special": False}]}
+    return tokens.config_diff(spark, base, other)
+
+
+@query()
+def pretok_alignment(spark, d):
+    """Edit operations between the two patterns' pre-tokens over the derived text's sentences, by kind and length."""
+    s = docs(spark, d).select(F.explode(F.split(tr(), r"[.\n]")).alias("t"))
+    s = s.groupBy("t").agg(F.count("*").alias("n")).select("n", X.pretokens(F.col("t"), P.PAT_A).alias("a"), X.pretokens(F.col("t"), P.PAT_B).alias("b")).where("a <> b")
+    o = s.select("n", F.explode(tokens.alignment("a", "b")).alias("o"))
+    return o.groupBy("o.op", (F.col("o.i2") - F.col("o.i1")).alias("a_len"), (F.col("o.j2") - F.col("o.j1")).alias("b_len")).agg(F.sum("n").alias("n"))
+
+
+@query("SELECT count(*) AS ids, CAST(sum(n_chars) AS BIGINT) AS total, CAST(max(n_chars) AS BIGINT) AS largest FROM documents WHERE n_chars IS NOT NULL")
+def u32_stream(spark, d):
+    """A stream of numbers written as unsigned 32-bit files in the shared folder and read back by ranges."""
+    from glyphstream.sources.shared import folder
+    from glyphstream.sources.u32 import U32Source
+
+    spark.dataSource.register(U32Source)
+    path = folder(spark, "u32")
+    rows = docs(spark, d).where("n_chars is not null").select(F.lit(0).cast("bigint").alias("pos"), F.col("n_chars").cast("bigint").alias("id"))
+    rows.write.format("u32").mode("append").save(path)
+    return spark.read.format("u32").load(path).agg(F.count("*").alias("ids"), F.sum("id").alias("total"), F.max("id").alias("largest"))
+
+
 @query("SELECT label, i AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 4) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY ALL")
 def embedding_mean_init(spark, d):
     """A new row is the element-wise mean of its constituents' rows."""
