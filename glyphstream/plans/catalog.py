@@ -469,11 +469,8 @@ def script_fragments(spark, d):
 def config_diff(spark, d):
     """What a config keeps of another: here the vocabulary with merges trained on the tables put after its own."""
     base = byte_config()
-    merges = [m[:2] for m in bpe.train(spark, letter_types(spark, d), 6)]
-    vocab, top = dict(base["model"]["vocab"]), 1 + max(t["id"] for t in base["added_tokens"])
-    for a, b in merges:
-        vocab.setdefault(a + b, top + len(vocab) - len(base["model"]["vocab"]))
-    other = base | {"model": base["model"] | {"vocab": vocab, "merges": base["model"]["merges"] + [list(m) for m in merges]}, "added_tokens": base["added_tokens"] + [{"id": top + 100, "content": "<|x|>", "special": False}]}
+    other = bpe.extended(base, [m[:2] for m in bpe.train(spark, letter_types(spark, d), 6)])
+    other["added_tokens"] = [*base["added_tokens"], {"id": 1 + max(other["model"]["vocab"].values()), "content": "<|x|>", "special": False}]
     return tokens.config_diff(spark, base, other)
 
 

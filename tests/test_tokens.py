@@ -111,3 +111,23 @@ def test_u32_round_trip(spark, tmp_path):
     with pytest.raises(Exception, match="below 2"):
         spark.sql("select 0L as pos, -1L as id").write.format("u32").mode("append").save(path)
     assert spark.read.format("u32").load(path).count() == 10
+
+
+def test_extended_config_keeps_ids():
+    import json
+
+    from tokenizers import Tokenizer
+
+    base, word = byte_config(), "qzxqzjv"
+    a = Tokenizer.from_str(json.dumps(base))
+    parts = a.encode(word, add_special_tokens=False).tokens
+    merges = [("".join(parts[:k]), parts[k]) for k in range(1, len(parts))]
+    other = bpe.extended(base, [*merges, ("t", "h")])
+    assert other["model"]["vocab"]["<|endoftext|>"] == 50256
+    new = [t for t, i in other["model"]["vocab"].items() if i > 50256]
+    assert len(merges) > 2 and new == ["".join(m) for m in merges] and [other["model"]["vocab"][t] for t in new] == list(range(50257, 50257 + len(new)))
+    b = Tokenizer.from_str(json.dumps(other))
+    assert b.encode(word, add_special_tokens=False).tokens == [word] and b.decode(b.encode(word).ids) == word
+    assert a.encode("the plain text <|endoftext|>").ids == b.encode("the plain text <|endoftext|>").ids
+    with pytest.raises(ValueError, match="not in the vocabulary"):
+        bpe.extended(base, [("q", "no such part")])
