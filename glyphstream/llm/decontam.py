@@ -4,6 +4,9 @@ For each benchmark item, the windows of a document that have the item's number o
 shingles). Items are indexed by the blocks of their fingerprint: with one block more than the radius, two fingerprints
 within the radius agree in one block at least, so the index misses none of them. Each candidate is then held to
 the exact weighted Jaccard similarity of the two bags of shingles, 0.8 or more.
+Words that the benchmark lacks are told apart by a 64-bit hash. Where a few shingles repeat so often that they rule a fingerprint,
+two alike windows may still lie beyond the radius; so a window that holds as many of an item's shingles as the similarity
+takes is a candidate as well, whatever its fingerprint, and no pair is missed.
 
 A window that has no shingle of an item has similarity zero with it; so windows are fingerprinted only where a document
 has a benchmark shingle, which leaves every pair that can pass and most text untouched.
@@ -40,6 +43,13 @@ def _shingle_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return _mix(h)
 
 
+def _own_id(word: str) -> int:
+    """Id of a word that the benchmark lacks: a hash below zero, where no id of its vocabulary lies."""
+    import xxhash
+
+    return (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1 << 63) - (1 << 64)
+
+
 def similarity(a: Counter, b: Counter) -> float:
     """Weighted Jaccard of two bags: sum of minima over sum of maxima."""
     low = sum(min(v, b[k]) for k, v in a.items() if k in b)
@@ -87,16 +97,16 @@ class Index:
         """(item_id, similarity, first word, words) of the best window of each item that a whole text contains."""
         if not text or not self.items:
             return []
-        get = self.vocab.get
-        ids = np.array([get(w, 0) for w in WORD.findall(text.lower())], np.int64)
+        get, words = self.vocab.get, WORD.findall(text.lower())
+        ids = np.array([get(w, 0) for w in words], np.int64)
         if not len(ids):
             return []
         out: dict[int, tuple[float, int, int]] = {}
         for n in {min(self.n, m) for _, m, _, _ in self.items} if self.shortest < self.n else {self.n}:
-            self._scan(ids, min(n, len(ids)), n, out)
+            self._scan(words, ids, min(n, len(ids)), n, out)
         return [(self.items[k][0], *best) for k, best in sorted(out.items())]
 
-    def _scan(self, ids: np.ndarray, k: int, n: int, out: dict) -> None:
+    def _scan(self, words: list[str], ids: np.ndarray, k: int, n: int, out: dict) -> None:
         run = np.concatenate([[0], np.cumsum(ids > 0)])
         whole = np.flatnonzero(run[k:] - run[:-k] == k)  # shingles all of whose words the benchmark has
         if not len(whole):
@@ -105,16 +115,30 @@ class Index:
         near = np.searchsorted(self.known, h)
         near[near == len(self.known)] = 0
         hit = self.known[near] == h
-        wanted: dict[int, set[int]] = {}
+        wanted: dict[int, dict[int, list[int]]] = {}
         for p, x in zip(whole[hit].tolist(), h[hit].tolist()):
             for item in self.by_shingle[x]:
                 m = self.items[item][1]
                 if min(self.n, m) == n:
-                    wanted.setdefault(m, set()).add(p)
-        for m, at in wanted.items():
+                    wanted.setdefault(m, {}).setdefault(item, []).append(p)
+        if wanted:
+            for j in np.flatnonzero(ids == 0).tolist():
+                ids[j] = _own_id(words[j])
+        for m, hits in wanted.items():
             size = min(m, len(ids))
+            at = {p for ps in hits.values() for p in ps}
             starts = sorted({s for p in at for s in range(max(0, p - size + k), min(p, len(ids) - size) + 1)})
-            self._windows(ids, k, m, size, np.array(starts, np.int64), out)
+            self._windows(ids, k, m, size, np.array(starts, np.int64), hits, out)
+
+    def _full(self, k: int, size: int, starts: np.ndarray, hits: dict[int, list[int]]) -> dict[int, list[int]]:
+        """Start of a window -> items of whose shingles it holds so many (repeats counted) that the similarity can reach the least."""
+        full: dict[int, list[int]] = {}
+        for x, at in hits.items():
+            inside = np.searchsorted(at, starts + size - k, "right") - np.searchsorted(at, starts)
+            need = self.least * (size - k + 1 + sum(self.items[x][2].values())) / (1 + self.least)
+            for s in starts[inside >= need - 1e-9].tolist():
+                full.setdefault(s, []).append(x)
+        return full
 
     @staticmethod
     def _at(ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -123,7 +147,8 @@ class Index:
             h = (h ^ ids[at + i].astype(np.uint64)) * MULT + np.uint64(1)
         return _mix(h)
 
-    def _windows(self, ids: np.ndarray, k: int, m: int, size: int, starts: np.ndarray, out: dict) -> None:
+    def _windows(self, ids: np.ndarray, k: int, m: int, size: int, starts: np.ndarray, hits: dict[int, list[int]], out: dict) -> None:
+        full = self._full(k, size, starts, hits)
         for lo in range(0, len(starts), 4096):
             part = starts[lo : lo + 4096]
             first, last = int(part[0]), int(part[-1]) + size
@@ -131,7 +156,7 @@ class Index:
             fps = self._fp(sums[part - first + size - k + 1] - sums[part - first])
             for s, fp in zip(part.tolist(), fps.tolist()):
                 near = {x for b, (at, mask) in enumerate(self.blocks) for x in self.by_block.get((m, b, fp >> at & mask), ())}
-                near = [x for x in near if (self.items[x][3] ^ fp).bit_count() <= self.radius]
+                near = {x for x in near if (self.items[x][3] ^ fp).bit_count() <= self.radius}.union(full.get(s, ()))
                 if near:
                     bag = self._bag(ids[s : s + size].tolist())
                     for x in near:

@@ -186,6 +186,20 @@ def test_decontamination_equals_brute_force(spark):
     assert want and contaminated(spark, docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_long_items_with_replaced_runs():
+    from glyphstream.llm.decontam import Index
+
+    random.seed(12)
+    w = [f"t{j}" for j in range(5000)]
+    for n, share in ((60, 0.05), (200, 0.1), (300, 0.08), (500, 0.1)):
+        for k in range(12):
+            item, r = random.choices(w, k=n), int(n * share)
+            new = [f"u{j}" if k % 2 else "same" for j in range(r)]  # words that the item lacks, each once or one throughout
+            text = " ".join([*random.choices(w, k=50), *item[: n - r], *new, "x", "y"])
+            same = n - r - 4
+            assert [(i, round(s, 9)) for i, s, *_ in Index([(7, " ".join(item))], 5, 20, 0.8).matches(text)] == [(7, round(same / (2 * (n - 4) - same), 9))]
+
+
 def test_html():
     from glyphstream.llm.html_extract import extract
 
