@@ -1,6 +1,8 @@
 """Main text of a page by composite text density.
 
-A page becomes a tree; boilerplate that markup declares (scripts, forms, navigation, footers, boxes named as adverts, comments, notices) is cut.
+A page becomes a tree; boilerplate that tags declare (scripts, forms, navigation, footers) is cut. Boxes whose class, id or role names
+them as adverts, comments, notices and the like count half when the core is sought; they are cut afterwards, unless they
+hold the core or <main>, or the core would keep less than a quarter of its text without them.
 Every node gets a density: characters per tag, adjusted by the share of them in links. Every node's density sum is the sum over its
 children; the node with the largest sum is the core of the article. The threshold is the least density on the path from the core
 to body: beside the core, subtrees off that path count as article if they reach it. An enclosing <article> or <main> widens the core.
@@ -26,21 +28,22 @@ CUT = frozenset("head script style textarea title xmp iframe noembed noframes no
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary"}
 PEERS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-NAMED = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumbs?|comments?|comment-?list|disqus|replies|reply|cookies?\w*|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|footer|header|masthead|toolbar|widget|pagination|pager|tags)(?:$|[-_ ])", re.I)
+NAMES = r"ads?|advert[a-z]*|banner|sponsor[a-z]*|promo[a-z]*|sidebar[a-z]*|side|nav[a-z]*|menu[a-z]*|breadcrumbs?|comments?|disqus|replies|reply|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend[a-z]*|footer|header|masthead|toolbar|widget|pagination|pager|tags"
+PLACES = r"site|global|primary|secondary|top|bottom|left|right|list|bar|box|block|links|area|wrap|wrapper|container|inner|outer|item|items|section|[0-9]+"
+#: A whole class token (or id) made of listed names and words of place: site-footer, but not has-sidebar, menu-open or sticky-header.
+NAMED = re.compile(rf"(?<!\S)(?:(?:{PLACES}|main|page|post|article|entry|blog)[-_]+)*(?:{NAMES}|commentlist)(?:[-_]+(?:{NAMES}|{PLACES}))*(?!\S)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "cut", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag, parent, cut=False):
-        self.tag, self.parent, self.kids, self.cut = tag, parent, [], cut
+    def __init__(self, tag, parent, cut=False, named=False):
+        self.tag, self.parent, self.kids, self.cut, self.named = tag, parent, [], cut, named
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
-    if tag in CUT:
-        return True
+def _named(tag: str, attrs: str) -> bool:
     if tag in ("body", "html", "article", "main") or not attrs:
         return False
     for name, a, b, c in ATTR.findall(attrs):
@@ -84,7 +87,7 @@ def parse(page: str) -> Node:
                     if tag not in PEERS:
                         break
                 up = up.parent
-        node = Node(tag, at, _boilerplate(tag, m[3]))
+        node = Node(tag, at, tag in CUT, tag not in CUT and _named(tag, m[3]))
         at.kids.append(node)
         if tag in RAW:
             shut = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
@@ -126,7 +129,7 @@ def _densities(root: Node) -> list[Node]:
         c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
         base = math.log(c / max(1, c - n.link_chars) * n.link_chars + ratio * c + math.e)
         n.density = c / t * math.log(c * t / (lc * lt) + 1.0) / math.log(base + 1.0) if c else 0.0
-        n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.cut)
+        n.total = sum(k.density / (2 if k.named else 1) for k in n.kids if isinstance(k, Node) and not k.cut)
     return nodes
 
 
@@ -136,8 +139,44 @@ def _has(n: Node, core: Node) -> bool:
     return core is n
 
 
+def _cut_named(root: Node) -> None:
+    """Cut the boxes that names call boilerplate, and clear the name of those that stay."""
+    nodes = _densities(root)
+    named = [n for n in nodes if n.named]
+    if not named:
+        return
+    under = {}
+    for n in reversed(nodes):  # parents before children
+        under[n] = n.named or under.get(n.parent, False)
+    body = next((n for n in nodes if n.tag == "body"), root)
+    core = max((n for n in reversed(nodes) if _has(body, n)), key=lambda n: n.total / (2 if under[n] else 1))
+    needed = {core, *(n for n in nodes if n.tag == "main" and n.chars)}
+    needed |= {up for n in needed for up in _above(n)}
+    inside = [n for n in named if n not in needed and _has(core, n)]
+    lost = sum(n.chars - n.link_chars for n in inside if not any(up.named for up in _below_core(n, core)))
+    whole = core.chars - core.link_chars
+    keep = needed.union(inside) if 4 * (whole - lost) < whole else needed
+    for n in named:
+        n.cut, n.named = n not in keep, False
+
+
+def _above(n: Node):
+    while n.parent is not None:
+        n = n.parent
+        yield n
+
+
+def _below_core(n: Node, core: Node):
+    """Ancestors of n that lie below core."""
+    for up in _above(n):
+        if up is core:
+            return
+        yield up
+
+
 def _chosen(root: Node) -> list[Node]:
     """The subtrees that are the article, in page order."""
+    _cut_named(root)
     nodes = _densities(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     inside = [n for n in nodes if _has(body, n)]

@@ -210,6 +210,24 @@ def test_html():
     assert [extract(x) for x in (None, "", "<p", "<!-- x", "<html></html>")] == [""] * 5
 
 
+def test_html_keeps_articles_in_named_wrappers():
+    from glyphstream.llm.html_extract import extract
+
+    paras = ["Long text here. " * 20, "More of it. " * 20, "And an end. " * 20]
+    want = "\n".join(p.strip() for p in paras)
+    text = "".join(f"<p>{p}</p>" for p in paras)
+    menu = '<div class="site-menu"><ul>' + '<li><a href="/x">Link</a></li>' * 9 + "</ul></div>"
+    rest = '<div class="comments"><p>' + "Nice! " * 9 + '</p></div><div id="sidebar-left"><p>Buy this now, it is cheap.</p></div>'
+    states = ["container has-sidebar", "layout with-sidebar", "post no-comments", "content menu-open", "elementor-widget-text", "sticky-header page"]
+    for name in [*states, "sidebar", "widget", "page share"]:
+        assert extract(f'<body>{menu}<div class="{name}">{text}</div>{rest}</body>') == want, name
+        assert extract(f'<body>{menu}<section id="{name}"><div>{text}</div>{rest}</section></body>') == want, name
+        assert extract(f'<body>{menu}<div>' + "".join(f'<div><div class="{name}"><p>{p}</p></div></div>' for p in paras) + "</div></body>") == want, name
+    assert extract(f'<body><div class="banner"><main>{text}</main>{rest}</div></body>') == want
+    assert extract('<body><div class="menu">all there is</div></body>') == "all there is"
+    assert extract(f"<body><div>{text}<div class=comments>{text * 2}</div></div></body>") == want  # a name still lowers
+
+
 def base_spans(x):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", x, re.I | re.A):
