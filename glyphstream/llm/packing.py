@@ -5,9 +5,11 @@ with that many entries, however many documents there are; it is solved on the dr
 sequence, how often), and the patterns go back as a table of that order. Each piece finds its place by its rank among the pieces
 of its length; ranks are local counts in the tokenizing tasks plus prefix sums over tasks, so no task sees all pieces of a length.
 
-The solver completes bins around the largest remaining length, over undominated fillings of the rest, as often as counts allow.
-Best-fit decreasing gives the first incumbent; branches whose waste shows that they can't beat the incumbent are cut, the
-search ends at the lower bound, or after `nodes` completions.
+The solver completes bins around the largest remaining length. Largest-first greedy gives the first incumbent, greedy descents that take
+the second to fourth filling in one bin better ones (at most `nodes` fillings). If they stay above the lower bound, a depth-first
+search branches over all undominated fillings of the largest length and over how often each is used; branches whose
+waste shows that they can't beat the incumbent are cut. It ends at the lower bound, with the tree exhausted (the incumbent is
+then optimal), or after `nodes` fillings, where a bin with many lengths to choose from counts as more.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class _Solver:
     def __init__(self, counts: dict[int, int], cap: int, nodes: int):
         self.cap, self.nodes, self.bound = cap, nodes, lower_bound(counts, cap)
         self.total = sum(s * n for s, n in counts.items())
-        self.counts = counts
+        self.counts, self.budget = counts, nodes
 
     @staticmethod
     def _below(sizes: list[int], top: int) -> int:
@@ -53,10 +55,7 @@ class _Solver:
         return sizes[k - 1] if k else 0
 
     def fillings(self, sizes: list[int], left: dict[int, int], room: int, wide: int) -> list[tuple[int, ...]]:
-        """Fillings of room, least waste first; of equal waste those of fewer and larger items, which dominate the rest.
-
-        A filling is dominated if its items fit into the items of another; so nothing that leaves a fitting item out is listed.
-        """
+        """Greedy fillings of room for the descents: a first item (of at most `wide`) completed by the largest that fit; least waste first."""
         found: dict[tuple[int, ...], None] = {}
 
         def complete(items: list[int], rest: int) -> None:
@@ -116,9 +115,9 @@ class _Solver:
             self.best, self.best_bins = out, bins
         return out
 
-    def solve(self) -> list[Pattern]:
+    def _descents(self) -> None:
         self.best, self.best_bins = None, 0
-        self.run(1)  # one candidate a bin: best-fit decreasing, the incumbent
+        self.run(1)  # one candidate a bin: largest-first greedy, the incumbent
         for wide in (8, 64, 512):
             if self.best_bins > self.bound and self.nodes > 0:
                 self.run(wide)
@@ -126,11 +125,121 @@ class _Solver:
         for pick in (1, 2, 3):
             for at in range(depth):
                 if self.best_bins <= self.bound or self.nodes <= 0:
-                    return self.best
+                    return
                 self.run(64, pick, at)
+
+    def _slack(self) -> int:
+        """Waste that may still be added by a packing that beats the incumbent."""
+        return (self.best_bins - 1) * self.cap - self.total - self.waste
+
+    def _options(self, after: tuple | None):
+        """(items with counts, waste, times, order) of each way to fill bins around the largest length left.
+
+        Bins of one largest length are filled in the order of `order`, so that no set of bins is met twice.
+        """
+        big = max(self.left)
+        room = self.cap - big
+        avail = {s: n - (s == big) for s, n in self.left.items() if s <= room and n > (s == big)}
+        self.nodes -= 1 + len(avail) // 32
+        for waste, fill in undominated(avail, room, self._slack, after[0] if after else 0):
+            self.nodes -= 1
+            if self.nodes <= 0:
+                return
+            order = (waste, [-s for s in fill or ()])
+            if fill is None or after and order <= after:
+                continue
+            need = Counter((big, *fill))
+            for times in range(min(self.left[s] // n for s, n in need.items()), 0, -1):
+                yield need, waste, times, order
+
+    def _use(self, need: Counter, waste: int, times: int) -> None:
+        for s, n in need.items():
+            self.left[s] = self.left.get(s, 0) - n * times
+            if not self.left[s]:
+                del self.left[s]
+        self.waste += waste * times
+
+    def _search(self) -> None:
+        """Depth-first branch-and-bound with backtracking."""
+        self.left, self.waste, self.nodes, path = dict(self.counts), 0, self.budget, []
+        stack = [self._options(None)]
+        while stack and self.nodes > 0 and self.best_bins > self.bound:
+            step = next(stack[-1], None)
+            if step is None:
+                stack.pop()
+                if path:
+                    need, waste, times = path.pop()
+                    self._use(need, waste, -times)
+                continue
+            need, waste, times, order = step
+            if waste * times > self._slack():
+                continue
+            big = max(self.left)
+            self._use(need, waste, times)
+            path.append((need, waste, times))
+            if self.left:
+                stack.append(self._options(order if big in self.left else None))
+            else:
+                self.best = [(tuple(sorted(n.items(), reverse=True)), t) for n, _, t in path]
+                self.best_bins = sum(t for *_, t in path)
+                path.pop()
+                self._use(need, waste, -times)
+
+    def solve(self) -> list[Pattern]:
+        self._descents()
+        if self.best_bins > self.bound:
+            self._search()
         return self.best
 
 
+def undominated(left: dict[int, int], room: int, most, least: int = 0):
+    """(waste, descending items) of each undominated filling of room, by waste from `least` while it is at most most(), larger items
+    first; (waste, None) stands for a dominated one.
+
+    A filling is dominated if a length left out can take the place of some of its items: of two or more with its sum or
+    less, of a smaller one, or of none, within the room. What it replaces fits where that length would have been.
+    """
+    sizes = sorted(left)
+    reach, mask, lengths = [1], (1 << room + 1) - 1, sum(1 << s for s in sizes)
+    for s in sizes:  # bit x of reach[k]: the k smallest lengths have a filling with the sum x
+        r, n, k = reach[-1], min(left[s], room // s), 1
+        while n > 0:
+            k = min(k, n)
+            r |= r << s * k & mask
+            n, k = n - k, 2 * k
+        reach.append(r)
+
+    def exact(k: int, rest: int):
+        if not rest:
+            yield ()
+            return
+        for j in range(bisect_right(sizes, rest, 0, k) - 1, -1, -1):
+            if not reach[j + 1] >> rest & 1:
+                return
+            s = sizes[j]
+            for n in range(min(left[s], rest // s), 0, -1):
+                if reach[j] >> rest - n * s & 1:
+                    for tail in exact(j, rest - n * s):
+                        yield (s,) * n + tail
+
+    for waste in range(least, room + 1):
+        if waste > most():
+            return
+        if not reach[-1] >> room - waste & 1:
+            continue
+        for fill in exact(len(sizes), room - waste):
+            out = lengths
+            for s, n in Counter(fill).items():
+                if left[s] == n:
+                    out ^= 1 << s
+            one = two = 0  # sums of one item, of two or more
+            for s in fill:
+                two |= (two | one) << s
+                one |= 1 << s
+            worse = two & out or any((1 | one | two) << d & out for d in range(1, waste + 1))
+            yield waste, None if worse else fill
+
+
 def pack(counts: dict[int, int], cap: int, nodes: int = 200_000) -> list[Pattern]:
     """Patterns that hold exactly the given counts of lengths (1 to cap), in as few bins as the search finds."""
     counts = {int(s): int(n) for s, n in counts.items() if n > 0}

@@ -296,6 +296,44 @@ def test_packing(spark):
     assert pack_documents(spark, docs(spark, texts).limit(0), path).count() == 0
 
 
+def test_packing_search_backtracks():
+    from glyphstream.llm.packing import pack
+
+    def fewest(sizes, cap):  # plain search: every item into every open bin, or a new one
+        best = len(sizes)
+
+        def place(k, rooms):
+            nonlocal best
+            if k == len(sizes):
+                best = min(best, len(rooms))
+            elif len(rooms) < best:
+                for room in {r for r in rooms if r >= sizes[k]}:
+                    i = rooms.index(room)
+                    place(k + 1, [*rooms[:i], room - sizes[k], *rooms[i + 1 :]])
+                place(k + 1, [*rooms, cap - sizes[k]])
+
+        place(0, [])
+        return best
+
+    def count(sizes):
+        return {s: sizes.count(s) for s in sizes}
+
+    random.seed(13)
+    for _ in range(150):
+        sizes = sorted(random.choices(range(random.choice((3, 15, 20)), random.choice((35, 50, 70))), k=random.randint(1, 11)), reverse=True)
+        assert sum(t for _, t in pack(count(sizes), 100)) == fewest(sizes, 100)
+    for seed in range(6):  # triples that fill 20 sequences exactly
+        random.seed(seed)
+        sizes = []
+        while len(sizes) < 60:
+            a, b = random.randint(520, 1008), random.randint(520, 1008)
+            if 520 <= 2048 - a - b <= 1008:
+                sizes += [a, b, 2048 - a - b]
+        plan = pack(count(sizes), 2048)
+        assert sum(t for _, t in plan) == 20
+        assert sorted(s for items, t in plan for s, n in items for _ in range(n * t)) == sorted(sizes)
+
+
 def test_warc_round_trip(spark, tmp_path):
     from glyphstream.llm import warc
 
