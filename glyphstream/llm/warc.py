@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from glyphstream.llm.common import fresh_path, read
 
-RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length bigint, segment int, origin_id string, total_length bigint, body binary"
+RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length bigint, segment int, origin_id string, total_length bigint, page_id bigint, refers_page bigint, body binary"
 
 
 class WarcError(ValueError):
@@ -106,13 +106,18 @@ def _plain(raw: bytes):
             at += 2
 
 
-def page_records(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment: int) -> list[bytes]:
+def record_name(page_id: int | None, row: int | None) -> str:
+    """Record id of a page; the row number keeps apart pages that share an id or have none."""
+    return f"<urn:page:{'none' if page_id is None else page_id}{'' if row is None else f':row{row}'}>"
+
+
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment: int, row: int | None = None, refers_row: int | None = None) -> list[bytes]:
     """The records of one page: a revisit, a response, or a response and its continuations."""
-    me, uri = f"<urn:page:{page_id}>", "".join((url or "urn:none").split())
-    common = [("WARC-Target-URI", uri), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload)))]
+    me, uri = record_name(page_id, row), "".join((url or "urn:none").split())
+    common = [*([("X-Page-ID", str(page_id))] if page_id is not None else []), ("WARC-Target-URI", uri), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload)))]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", me), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common, ("Content-Type", "application/http; msgtype=response")], block)]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", me), ("WARC-Refers-To", record_name(refers_to, refers_row)), ("X-Refers-To-Page-ID", str(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common, ("Content-Type", "application/http; msgtype=response")], block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     head = [("WARC-Type", "response"), ("WARC-Record-ID", me), *common, ("Content-Type", "application/http; msgtype=response")]
     if len(block) <= segment:
@@ -121,32 +126,35 @@ def page_records(page_id: int, url: str | None, payload: bytes, digest: str, ref
     out = [record([*head, ("WARC-Segment-Number", "1")], parts[0])]
     for n, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if n == len(parts) else []
-        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{n}>"), ("WARC-Segment-Origin-ID", me), ("WARC-Segment-Number", str(n)), ("WARC-Target-URI", uri), ("WARC-Date", "1970-01-01T00:00:00Z"), *last], part))
+        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{me[:-1]}:{n}>"), ("WARC-Segment-Origin-ID", me), ("WARC-Segment-Number", str(n)), ("WARC-Target-URI", uri), ("WARC-Date", "1970-01-01T00:00:00Z"), *last], part))
     return out
 
 
 def with_revisits(pages: DataFrame, html: str = "html", least: int = 100) -> DataFrame:
-    """pages (page_id, url, html) with payload, digest and refers_to: the smallest page_id of those with an equal payload of `least` bytes.
+    """pages (page_id, url, html) with payload, digest, refers_to (the smallest page_id of those with an equal payload of `least` bytes), row and refers_row.
 
+    row is a number of its own for every row; refers_row is that of a row of the page referred to, as long as pages give the
+    same partitions whenever they are read, as tables do.
     A payload that very many pages share is one row of the grouped minimum, and a skewed key of a plain join.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = pages.select(F.col("page_id").cast("bigint"), "url", payload.alias("payload"), F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha2("payload", 256))
+    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("row", "page_id").alias("first_row"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = rows.join(first, "digest", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    later = F.col("first") < F.col("page_id")
+    return joined.select("page_id", "url", "payload", "digest", F.when(later, F.col("first")).alias("refers_to"), "row", F.when(later, F.col("first_row")).alias("refers_row"))
 
 
 def write_archives(spark: SparkSession, rows: DataFrame, path: str, segment: int = 16_384, archive_bytes: int = 4 << 20) -> None:
-    """rows (page_id, url, payload, digest, refers_to) as a Parquet table of archives (archive binary) at path."""
+    """rows (page_id, url, payload, digest, refers_to, row, refers_row) as a Parquet table of archives (archive binary) at path."""
 
     def write(batches):
         import pyarrow as pa
 
         held, size = [], 0
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(5))):
-                for r in page_records(*row, segment):
+            for *page, row, refers_row in zip(*(b.column(k).to_pylist() for k in range(7))):
+                for r in page_records(*page, segment, row, refers_row):
                     held.append(zipped(r))
                     size += len(held[-1])
                     if size >= archive_bytes:  # the segments of a long record may lie in two archives
@@ -156,7 +164,7 @@ def write_archives(spark: SparkSession, rows: DataFrame, path: str, segment: int
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
 
     # archives are gzip already
-    rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(write, "archive binary").write.option("compression", "none").parquet(path)
+    rows.select("page_id", "url", "payload", "digest", "refers_to", "row", "refers_row").mapInArrow(write, "archive binary").write.option("compression", "none").parquet(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -171,11 +179,11 @@ def read_records(archives: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         number = lambda x: int(x) if x else None
-        schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("segment", pa.int32()), ("origin_id", pa.string()), ("total_length", pa.int64()), ("body", pa.binary())])
+        schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("segment", pa.int32()), ("origin_id", pa.string()), ("total_length", pa.int64()), ("page_id", pa.int64()), ("refers_page", pa.int64()), ("body", pa.binary())])
         for b in batches:
             for archive in b.column(0).to_pylist():
                 rows = [
-                    (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), number(h.get("x-payload-length")), number(h.get("warc-segment-number")), h.get("warc-segment-origin-id"), number(h.get("warc-segment-total-length")), block)
+                    (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), number(h.get("x-payload-length")), number(h.get("warc-segment-number")), h.get("warc-segment-origin-id"), number(h.get("warc-segment-total-length")), number(h.get("x-page-id")), number(h.get("x-refers-to-page-id")), block)
                     for h, block in records(archive or b"")
                 ]
                 if rows:
@@ -208,14 +216,14 @@ def reassemble(found: DataFrame) -> DataFrame:
 
 def payloads(found: DataFrame) -> DataFrame:
     """Whole records with the payload's length and SHA-256, its transfer framing decoded; a response is held to its own digest."""
-    fields = "record_id string, record_type string, refers_to string, payload_bytes bigint, payload_digest string"
+    fields = "record_id string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, page_id bigint, refers_page bigint"
 
     def decode(batches):
         import pyarrow as pa
 
         for b in batches:
             out = []
-            for rid, kind, refers, digest, length, body in zip(*(b.column(k).to_pylist() for k in range(6))):
+            for rid, kind, refers, digest, length, page, refers_page, body in zip(*(b.column(k).to_pylist() for k in range(8))):
                 stated = (digest or "").removeprefix("sha256:")
                 if kind == "response":
                     payload = http_payload(body)
@@ -223,24 +231,23 @@ def payloads(found: DataFrame) -> DataFrame:
                     if stated and stated != got:
                         raise WarcError(f"{rid}: payload digest differs")
                     stated = got
-                out.append((rid, kind, refers, length, stated))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 3 else pa.string()) for k, c in enumerate(cols)], ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"])
+                out.append((rid, kind, refers, length, stated, page, refers_page))
+            cols = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k in (3, 5, 6) else pa.string()) for k, c in enumerate(cols)], ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "page_id", "refers_page"])
 
-    return found.select("record_id", "record_type", "refers_to", "payload_digest", "payload_length", "body").mapInArrow(decode, fields)
+    return found.select("record_id", "record_type", "refers_to", "payload_digest", "payload_length", "page_id", "refers_page", "body").mapInArrow(decode, fields)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """pages written as archives and read back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
-    Null html is the empty payload. Equal payloads of 100 bytes or more: the smallest page_id is the response. Repeated page_ids are
-    a response each if their payloads differ; an empty table gives no rows.
+    Null html is the empty payload. Equal payloads of 100 bytes or more: the smallest page_id is the response. Rows
+    that repeat that page_id are a response each, whatever their payloads, and so are rows without a page_id; an empty table gives no rows.
     """
     path = fresh_path(spark, "warc")
     write_archives(spark, with_revisits(pages), path)
     got = payloads(reassemble(read_records(spark.read.schema("archive binary").parquet(path))))
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("bigint")
-    return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_page").alias("refers_to"))
 
 
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

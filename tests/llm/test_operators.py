@@ -363,6 +363,29 @@ def test_warc_round_trip(spark, tmp_path):
             warc.dechunk(bad)
 
 
+def test_warc_repeated_and_null_ids(spark):
+    from collections import Counter
+
+    from glyphstream.llm import warc
+
+    long, other = "x" * 40_000, "y" * 50_000
+    pages = [(1, "u", long), (1, "u", long), (1, "v", other), (2, "u", long), (2, "u", long), (None, "u", long), (None, "u", other * 2), (None, None, None), (None, None, None), (3, "u", "z" * 200), (3, "u", "z" * 200), (4, "u", "z" * 200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    want = Counter()
+    for i, _, t in pages:
+        raw = (t or "").encode()
+        first = min((j for j, _, x in pages if x == t and j is not None), default=None)
+        refers = first if len(raw) >= 100 and i is not None and first < i else None
+        want[i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if refers else "response", refers] += 1
+    assert Counter(tuple(r) for r in warc.round_trip(spark, df).collect()) == want
+    path = warc.fresh_path(spark, "warc-test")
+    warc.write_archives(spark, warc.with_revisits(spark.createDataFrame(pages, "page_id long, url string, html string")), path)
+    found = warc.reassemble(warc.read_records(spark.read.parquet(path))).collect()
+    ids = {r.record_id: r for r in found}
+    assert len(ids) == len(found) == len(pages)
+    assert all(ids[r.refers_to].record_type == "response" and ids[r.refers_to].payload_digest == r.payload_digest for r in found if r.record_type == "revisit")
+
+
 def test_nearest_equals_brute_force(spark):
     from glyphstream.llm.ann import nearest
 
