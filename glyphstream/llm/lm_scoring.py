@@ -1,8 +1,8 @@
 """LM scoring by subword lattice likelihood.
 
 An existing subword vocabulary gives the pieces. Its stored scores (ranks, in the public BPE model used here)
-are the prior of the piece weights; the weights are then estimated on the corpus, first from the vocabulary's
-own segmentation of every distinct training word, then by expected counts over all segmentations. A text's
+are the prior of the piece weights; the weights are then estimated on the corpus, from the vocabulary's
+own segmentation of every distinct training word; em_rounds adds rounds of expected counts over all segmentations (0 by default and in op1). A text's
 score is the log10 of its marginal probability: the log-space forward recursion sums every segmentation of
 every white-space token, and the text ends with the end piece. Whole tokens of the training texts are arcs of the lattice too, weighed
 by discounted counts, for a vocabulary trained on other text spells this one's words poorly. No piece spans white space, so the recursion over
