@@ -1,15 +1,14 @@
 """LM scoring by subword lattice likelihood.
 
-An existing subword vocabulary gives the pieces. Its stored scores (ranks, in the public BPE model used here)
-are the prior of the piece weights; the weights are then estimated on the corpus, from the vocabulary's
-own segmentation of every distinct training word; em_rounds adds rounds of expected counts over all segmentations (0 by default and in op1). A text's
-score is the log10 of its marginal probability: the log-space forward recursion sums every segmentation of
-every white-space token, and the text ends with the end piece. Whole tokens of the training texts are arcs of the lattice too, weighed
-by discounted counts, for a vocabulary trained on other text spells this one's words poorly. No piece spans white space, so the recursion over
-a text is the sum over its tokens, and each distinct word needs it once.
-
-Counts cover all training texts. Only the `head` most frequent words (a fixed number) and the piece weights (as
-many as the vocabulary has) go to every worker; all other words meet their counts in a shuffle join.
+An existing subword vocabulary gives the pieces and the first weights of all segmentations. The public model's stored scores are ranks (it is a BPE
+model), so they become log weights by Zipf's law: log w = -log(1 + rank). The weights are then re-estimated on the training texts by
+`em_rounds` rounds of expected counts over all segmentations of every distinct training word, with the first weights as a prior of
+`prior_mass` pseudo-counts, so that no piece dies. A text's score is the log10 of its marginal probability: the log-space
+forward recursion sums every segmentation of every white-space token, and the text ends with the end piece. No
+piece spans white space, so the recursion over a text is the sum over its tokens, and each distinct word needs it once.
+
+Counts cover all training texts. Only the most frequent words (at most `head`, found from a histogram of counts) and the piece weights (as
+many as the vocabulary has) go to every worker; all other words meet their counts and weights in a shuffle join.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from collections import Counter
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstream.llm.common import blocks, crc_mod, materialize, read, small_batches, text_bytes
@@ -38,7 +37,10 @@ class Vocabulary:
         n = sp.get_piece_size()
         self.model, self.size, self.end = model, n, sp.eos_id()
         pieces = [sp.id_to_piece(i) for i in range(n)]
-        prior = np.array([0.0 if sp.is_control(i) or sp.is_unknown(i) else 1.0 / n if sp.is_byte(i) else 1.0 / (1.0 - min(0.0, sp.get_score(i))) for i in range(n)])
+        stored = np.array([sp.get_score(i) for i in range(n)])
+        # whole numbers are the ranks of a BPE model, anything else the natural-log weights of a unigram model
+        weight = 1.0 / (1.0 - np.minimum(0.0, stored)) if np.array_equal(stored, np.rint(stored)) else np.exp(stored)
+        prior = np.array([0.0 if sp.is_control(i) or sp.is_unknown(i) else 1.0 / n if sp.is_byte(i) else weight[i] for i in range(n)])
         prior[self.end] = 1.0 / n
         self.prior = prior / prior.sum()
         self.bytes = np.zeros(256, np.int64)
@@ -142,163 +144,115 @@ def forward_log10(vocab: Vocabulary, logp: np.ndarray, text: str) -> float:
     return float((lattice(vocab, logp, words).sum() + logp[vocab.end]) / LN10)
 
 
-def word_counts(docs: DataFrame, classes: int, flush: int = 250_000) -> DataFrame:
-    """docs (raw binary, k int) -> (word, c0, c1, ...): every distinct token, with its count in the texts of each class k.
-
-    Texts with k < 0 are not learnt from; their tokens appear with counts of zero.
-    """
+def word_counts(docs: DataFrame, flush: int = 250_000) -> DataFrame:
+    """docs (raw binary, held_out) -> (word, c): every distinct token, with its count in the texts that are not held out."""
 
     def count(batches):
         import pyarrow as pa
 
-        seen, names = [Counter() for _ in range(classes + 1)], ["word", *(f"c{k}" for k in range(classes))]
+        seen: Counter = Counter()
 
         def rows():
-            keys = list(set().union(*seen))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), *(pa.array([c[w] for w in keys], pa.int64()) for c in seen[:classes])], names)
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
 
         for b in batches:
-            for raw, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[k].update(raw.lower().split())
-                if len(seen[k]) > flush:
+            for raw, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if held:
+                    seen.update(dict.fromkeys(raw.lower().split(), 0))
+                else:
+                    seen.update(raw.lower().split())
+                if len(seen) > flush:
                     yield rows()
-                    for c in seen:
-                        c.clear()
-        if any(seen):
+                    seen.clear()
+        if seen:
             yield rows()
 
-    cs = [f"c{k}" for k in range(classes)]
-    return docs.select("raw", "k").mapInArrow(count, "word string, " + ", ".join(f"{c} bigint" for c in cs)).groupBy("word").agg(*(F.sum(c).alias(c) for c in cs))
+    return docs.select("raw", "held_out").mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(spark: SparkSession, words: DataFrame, texts: int, model: str, em_rounds: int = 0, prior_mass: float | None = None) -> np.ndarray:
+def train(spark: SparkSession, words: DataFrame, texts: int, model: str, em_rounds: int = 4, prior_mass: float | None = None) -> np.ndarray:
     """Natural-log weight of each piece, from (word, c) of the whole training part and its number of texts.
 
-    prior_mass: pseudo-counts that the stored scores share out; by default as many as there are pieces.
+    prior_mass: pseudo-counts that the stored scores share out; by default one for every hundred pieces. No words: the prior alone.
     """
     vocab = Vocabulary(model)
-    mass = float(vocab.size) if prior_mass is None else prior_mass
-
-    def log_weights(counts: np.ndarray) -> np.ndarray:
-        counts = counts.copy()
-        counts[vocab.end] = texts
-        w = counts + mass * vocab.prior
-        with np.errstate(divide="ignore"):
-            return np.log(w / w.sum())
-
-    def gathered(fn) -> np.ndarray:
-        got = words.where("c > 0").mapInArrow(fn, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros(vocab.size)
-        counts[got.piece.to_numpy(np.int64)] = got.n.to_numpy(float)
-        return counts
-
-    def emit(counts):
-        import pyarrow as pa
-
-        at = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["piece", "n"])
-
-    def segmented(batches):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        counts = np.zeros(sp.get_piece_size())
-        for b in batches:
-            found = sp.encode(b.column(0).to_pylist(), num_threads=1)
-            c = np.repeat(np.asarray(b.column(1), float), [len(x) for x in found])
-            counts += np.bincount(np.fromiter((i for x in found for i in x), np.int64, len(c)), c, minlength=len(counts))
-        yield emit(counts)
-
-    logp = log_weights(gathered(segmented))
-    for _ in range(em_rounds):
-        now = spark.sparkContext.broadcast(logp)
-
-        def expected(batches):
-            v, total = Vocabulary(model), None
-            for t in blocks(batches, 100_000):
-                got = lattice(v, now.value, t.column(0).to_pylist(), np.asarray(t.column(1), float))[1]
-                total = got if total is None else total + got
-            if total is not None:
-                yield emit(total)
-
-        logp = log_weights(gathered(expected))
+    mass = 0.01 * vocab.size if prior_mass is None else prior_mass
+    with np.errstate(divide="ignore"):
+        logp = np.log(vocab.prior)
+        for _ in range(em_rounds if texts else 0):
+            now = spark.sparkContext.broadcast(logp)
+
+            def expected(batches, now=now):
+                import pyarrow as pa
+
+                v = Vocabulary(model)
+                total = np.zeros(v.size)
+                for t in blocks(batches, 100_000):
+                    total += lattice(v, now.value, t.column(0).to_pylist(), np.asarray(t.column(1), float))[1]
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["piece", "n"])
+
+            got = words.where("c > 0").mapInArrow(expected, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+            counts = mass * vocab.prior
+            counts[got.piece.to_numpy(np.int64)] += got.n.to_numpy(float)
+            counts[vocab.end] += texts
+            logp = np.log(counts / counts.sum())
     return logp
 
 
-def score_corpus(spark: SparkSession, docs: DataFrame, model: str, held_out: str, by: str | None = None, head: int = 131_072, em_rounds: int = 0, discount: float = 0.75, most_classes: int = 8) -> DataFrame:
-    """Score every row of docs (doc_id, text, and a boolean column named held_out) with models learnt from the other rows.
+def frequent(words: DataFrame, head: int, per_octave: int = 64) -> Column:
+    """Condition on c that holds for the most frequent words, at most `head` of them: whole bins of a histogram of log c from the top."""
+    level = F.floor(F.log2(F.col("c").cast("double")) * per_octave).cast("int")
+    left, cut = head, None
+    for r in sorted(words.where("c > 0").groupBy(level.alias("level")).count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        cut = r.level
+    return F.lit(False) if cut is None else (F.col("c") > 0) & (level >= cut)
+
 
-    The lattice of a token has, beside the vocabulary's pieces, one arc for the whole token where training texts have it:
-    weight max(c - discount, 0) / N; what the discount frees, discount * V / N, weighs the pieces' paths. With a column
-    `by` (say, the language), training texts of each of its `most_classes` most frequent values give their own c, N and V, all
-    others share a further class, and a text's probability is the sum over classes by their shares of training texts.
+def score_corpus(spark: SparkSession, docs: DataFrame, model: str, held_out: str, head: int = 131_072, em_rounds: int = 4) -> DataFrame:
+    """Score every row of docs (doc_id, text, and a boolean column named held_out) with a model learnt from the other rows.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), one row for each input row.
-    Null and empty texts have the end token alone. Repeated rows are scored and counted each. No training rows:
+    Null and empty texts have the end token alone. Repeated rows are scored and counted each; other columns are not read. No training rows:
     the base counts are zero and the pieces keep the prior's weights. An empty table gives an empty result.
     """
     small_batches(spark)
-    docs = docs.select("doc_id", F.col(held_out).alias("held_out"), text_bytes().alias("raw"), (F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")).alias("by"))
-    counted = docs.where(~F.col("held_out")).groupBy("by").count().orderBy(F.desc("count"), "by")
-    named = [r.by for r in counted.limit(most_classes).collect()] if by else [""]
-    k = F.lit(len(named) if by else 0)
-    for i, name in enumerate(named):
-        k = F.when(F.col("by") == name, i).otherwise(k)
-    docs = docs.select("doc_id", "held_out", "raw", F.when(F.col("held_out"), -1).otherwise(k).alias("k"))
-    n_classes = len(named) + 1 if by else 1
-    cs = [f"c{i}" for i in range(n_classes)]
-    c_all = sum((F.col(c) for c in cs[1:]), F.col(cs[0]))
-    words = materialize(spark, word_counts(docs, n_classes).withColumn("c", c_all), "words")
-    texts = np.zeros(n_classes)
-    for r in docs.where("k >= 0").groupBy("k").count().collect():
-        texts[r.k] = r["count"]
-    got = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in cs), *(F.count_if(F.col(c) > 0) for c in cs), F.count_if(F.col("c") > 0)).first()
-    size = np.array(got[:n_classes], float) + texts
-    distinct = np.array(got[n_classes:-1], float) + (texts > 0)
-    n_texts, total = int(texts.sum()), int(size.sum())
-    log_all = math.log10(total + 1 * (got[-1] + (n_texts > 0) + 1))
-    logp = spark.sparkContext.broadcast(train(spark, words.select("word", "c"), n_texts, model, em_rounds))
-    live = np.flatnonzero(texts) if n_texts else np.array([0])
-    share = np.log10(texts[live] / n_texts) if n_texts else np.zeros(1)
-    n_live, freed = np.maximum(size[live], 1.0), np.where(size[live] > 0, discount * distinct[live] / np.maximum(size[live], 1.0), 1.0)
-
-    def log_words(counts: np.ndarray, lp: np.ndarray) -> np.ndarray:
-        """log10 probability of each word in each class that has texts."""
-        return np.log10(np.maximum(counts[:, live] - discount, 0.0) / n_live + freed * np.exp(lp)[:, None])
+    docs = docs.select("doc_id", F.col(held_out).alias("held_out"), text_bytes().alias("raw"))
+    words = materialize(spark, word_counts(docs), "words")
+    texts = docs.where(~F.col("held_out")).count()
+    size, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    total = size + texts
+    log_all = math.log10(total + 1 * (distinct + (texts > 0) + 1))
+    logp = spark.sparkContext.broadcast(train(spark, words, texts, model, em_rounds))
 
     def weigh(batches):
         import pyarrow as pa
 
         v = Vocabulary(model)
         for t in blocks(batches, 100_000):
-            counts = np.stack([np.asarray(t.column(c), float) for c in cs], 1)
-            lp = lattice(v, logp.value, t.column("word").to_pylist())
-            # a word that only its pieces spell may fall below the smallest double: add logarithms there
-            out = np.where((counts[:, live] > 0) | (lp[:, None] > -600), log_words(counts, np.maximum(lp, -600)), np.log10(freed) + lp[:, None] / LN10)
-            yield pa.RecordBatch.from_arrays([t.column("word").combine_chunks(), t.column("c").combine_chunks(), pa.array(list(out), pa.list_(pa.float64()))], ["word", "c", "lp"])
-
-    weighed = "word string, c bigint, lp array<double>"
-    top = words.orderBy(F.desc("c"), "word").limit(head).mapInArrow(weigh, weighed).orderBy(F.desc("c"), "word").toPandas()
-    known = spark.sparkContext.broadcast({w.encode(): (math.log10(c + 1) - log_all, np.asarray(lp), c > 0) for w, c, lp in zip(top.word, top.c.tolist(), top.lp)})
-    least = (int(top.c.iloc[-1]), top.word.iloc[-1]) if len(top) == head else None
-    # the head's words go nowhere near the join
-    tail = words.where((F.col("c") < least[0]) | (F.col("c") == least[0]) & (F.col("word") > least[1])) if least else words.limit(0)
-    p_end = np.log10(np.maximum(texts[live] - discount, 0.0) / n_live + freed * math.exp(logp.value[Vocabulary(model).end]))
-    end = (math.log10(n_texts + 1) - log_all, share + p_end, n_texts > 0)
-    sums_type = [f"lp{i}" for i in range(len(live))]
+            lp = lattice(v, logp.value, t.column("word").to_pylist()) / LN10
+            yield pa.RecordBatch.from_arrays([t.column("word").combine_chunks(), t.column("c").combine_chunks(), pa.array(lp)], ["word", "c", "lp"])
+
+    weighed, often = "word string, c bigint, lp double", frequent(words, head)
+    top = words.where(often).mapInArrow(weigh, weighed).toPandas()
+    known = spark.sparkContext.broadcast({w.encode(): (math.log10(c + 1) - log_all, lp, c > 0) for w, c, lp in zip(top.word, top.c.tolist(), top.lp.tolist())})
+    tail = words.where(~often)  # the head's words go nowhere near the join
+    end = (math.log10(texts + 1) - log_all, float(logp.value[Vocabulary(model).end]) / LN10, texts > 0)
 
     def split(batches):
         """For each text one row with the sums over the head's words, and one for each of its other words."""
         import pyarrow as pa
 
         at, row, get = TaskContext.get().partitionId() << 40, 0, known.value.get
-        kind = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), *((x, pa.float64()) for x in sums_type)])
+        kind = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64())])
         for b in batches:
             keys, rare_words, ns, sums = [], [], [], []
             for doc_id, held, raw in zip(*(b.column(k).to_pylist() for k in range(3))):
                 key, row = at + row, row + 1
-                base, n_known, n_tokens = end[0], int(end[2]), 1
-                rare, n_hit, lp_hit = [], [1], [end[1]]
+                (base, lp, _), n_known, n_tokens, rare = end, int(end[2]), 1, []
                 for w, n in Counter(raw.lower().split()).items():
                     n_tokens += n
                     hit = get(w)
@@ -306,20 +260,18 @@ def score_corpus(spark: SparkSession, docs: DataFrame, model: str, held_out: str
                         rare.append((w, n))
                     else:
                         base += n * hit[0]
-                        n_hit.append(n)
-                        lp_hit.append(hit[1])
+                        lp += n * hit[1]
                         n_known += n if hit[2] else 0
-                lp = np.array(n_hit, float) @ np.array(lp_hit)
                 for w, n in rare or [(b" %d" % key, 0)]:  # no token has a space: this row meets no count, and spreads
                     keys.append(key)
                     rare_words.append(w)
                     ns.append(n)
                     sums.append(None)
-                sums[-1] = {"doc_id": doc_id, "held_out": held, "n_tokens": n_tokens, "n_known": n_known, "base": base} | dict(zip(sums_type, lp.tolist()))
+                sums[-1] = {"doc_id": doc_id, "held_out": held, "n_tokens": n_tokens, "n_known": n_known, "base": base, "lp": lp}
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64()), pa.array(sums, kind)], ["key", "word", "n", "doc"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "held_out", "raw").mapInArrow(split, "key bigint, word string, n bigint, doc struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double," + ",".join(f"{x}:double" for x in sums_type) + ">")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "held_out", "raw").mapInArrow(split, "key bigint, word string, n bigint, doc struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,lp:double>")
     met = rows.join(tail.mapInArrow(weigh, weighed), "word", "left")
     c = F.coalesce("c", F.lit(0))
     # primitive maxima keep the aggregate hashed; the document's own columns are in one row of its key
@@ -327,23 +279,14 @@ def score_corpus(spark: SparkSession, docs: DataFrame, model: str, held_out: str
         "key", F.col("doc.doc_id").alias("doc_id"), F.col("doc.held_out").cast("int").alias("held"), F.col("doc.n_tokens").alias("n_tokens"),
         (F.coalesce("doc.n_known", F.lit(0)) + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
         (F.coalesce("doc.base", F.lit(0.0)) + F.col("n") * (F.log10(c + 1) - F.lit(log_all))).alias("base"),
-        *((F.coalesce(F.col(f"doc.{x}"), F.lit(0.0)) + F.col("n") * F.coalesce(F.col("lp")[i], F.lit(0.0))).alias(x) for i, x in enumerate(sums_type)),
+        (F.coalesce("doc.lp", F.lit(0.0)) + F.col("n") * F.coalesce("lp", F.lit(0.0))).alias("score"),
     )
-    by_doc = sums.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held").alias("held"), F.max("n_tokens").alias("n_tokens"), *(F.sum(x).alias(x) for x in ("n_known", "base", *sums_type)))
-    most = F.greatest(*map(F.col, sums_type)) if len(sums_type) > 1 else F.col(sums_type[0])
-    return by_doc.select(
-        "doc_id",
-        (F.col("held") == 1).alias("held_out"),
-        "n_tokens",
-        "n_known",
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        F.col("base").alias("base_score"),
-        (most + F.log10(sum((F.pow(F.lit(10.0), F.col(x) - most) for x in sums_type[1:]), F.pow(F.lit(10.0), F.col(sums_type[0]) - most)))).alias("score"),
-    )
+    by_doc = sums.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held").alias("held"), F.max("n_tokens").alias("n_tokens"), *(F.sum(x).alias(x) for x in ("n_known", "base", "score")))
+    return by_doc.select("doc_id", (F.col("held") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
-    return score_corpus(spark, docs, public_tokenizers.path("piece_bpe_32k.model"), "held_out", by="lang")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
+    return score_corpus(spark, docs, public_tokenizers.path("piece_bpe_32k.model"), "held_out")

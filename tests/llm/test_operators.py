@@ -49,14 +49,48 @@ def test_lattice_sums_every_segmentation():
     assert counts.sum() > len(words)
 
 
-def test_lm_scoring_base_and_edges(spark):
+def plain_lattice(model, words, texts, rounds):
+    """Piece weights after rounds of expected counts, by listing every segmentation of every word: (log probability of a word, of the end)."""
+    from glyphstream.llm.lm_scoring import Vocabulary
+
+    v = Vocabulary(model)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    piece = {sp.id_to_piece(i): i for i in range(v.size) if not sp.is_control(i) and not sp.is_unknown(i) and not sp.is_byte(i)}
+
+    def cuts(s):
+        if not s:
+            yield ()
+        for k in range(1, len(s) + 1):
+            if s[:k] in piece:
+                for rest in cuts(s[k:]):
+                    yield (piece[s[:k]], *rest)
+        if s and s[0] not in piece:
+            for rest in cuts(s[1:]):
+                yield (*(int(v.bytes[b]) for b in s[0].encode()), *rest)
+
+    ways = {w: list(cuts("▁" + w)) for w in words}
+    p = v.prior
+    for _ in range(rounds):
+        counts = 0.01 * v.size * v.prior
+        for w, n in words.items():
+            share = [math.prod(p[i] for i in way) for way in ways[w]]
+            for x, way in zip(share, ways[w]):
+                for i in way:
+                    counts[i] += n * x / sum(share)
+        counts[v.end] += texts
+        p = counts / counts.sum()
+    return lambda w: math.log10(sum(math.prod(p[i] for i in way) for way in (ways.get(w) or cuts("▁" + w)))), math.log10(p[v.end])
+
+
+def test_lm_scoring_equals_brute_force(spark):
     import public_tokenizers
 
     from glyphstream.llm.lm_scoring import score_corpus
 
-    texts = EDGE + ["the dog sat", "A cat\x0bran", "unseen wörds here"]
-    df = docs(spark, texts, True).withColumn("h", F.col("doc_id") % 3 == 2)
-    out = {r.doc_id: r for r in score_corpus(spark, df, public_tokenizers.path("piece_bpe_32k.model"), "h", by="lang", head=3).collect()}
+    texts = EDGE + ["the dog sat", "A cat\x0bran", "unseen wörds here", "the the cat mat"]
+    model = public_tokenizers.path("piece_bpe_32k.model")
     toks = [[w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None] for t in texts]
     count = {}
     for i, t in enumerate(toks):
@@ -64,13 +98,19 @@ def test_lm_scoring_base_and_edges(spark):
             for w in t:
                 count[w] = count.get(w, 0) + 1
     n, v = sum(count.values()), len(count)
-    assert len(out) == len(texts)
-    for i, t in enumerate(toks):
-        r = out[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(w in count for w in t), n, i % 3 == 2)
-        assert math.isclose(r.base_score, sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert r.score < 0 and math.isfinite(r.score)
-    assert score_corpus(spark, df.limit(0), public_tokenizers.path("piece_bpe_32k.model"), "h").count() == 0
+    lp, end = plain_lattice(model, {w: c for w, c in count.items() if w}, count[None], 4)
+    df = docs(spark, texts, True).withColumn("h", F.col("doc_id") % 3 == 2)
+    for head in (3, 1000):
+        out = {r.doc_id: r for r in score_corpus(spark, df, model, "h", head=head).collect()}
+        assert len(out) == len(texts)
+        for i, t in enumerate(toks):
+            r = out[i]
+            assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(w in count for w in t), n, i % 3 == 2)
+            assert math.isclose(r.base_score, sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
+            assert math.isclose(r.score, sum(lp(w) if w else end for w in t), rel_tol=1e-9)
+    assert score_corpus(spark, df.limit(0), model, "h").count() == 0
+    alone = score_corpus(spark, df.where("h"), model, "h").collect()  # nothing to learn from: the prior's weights
+    assert all(r.train_tokens == r.n_known == 0 and math.isfinite(r.score) for r in alone)
 
 
 def test_simhash_equals_brute_force(spark):
