@@ -1,11 +1,14 @@
 """Main text of a page by composite text density.
 
-A page becomes a tree; boilerplate that tags declare (scripts, forms, navigation, footers) is cut. Boxes whose class, id or role names
-them as adverts, comments, notices and the like count half when the core is sought; they are cut afterwards, unless they
-hold the core or <main>, or the core would keep less than a quarter of its text without them.
-Every node gets a density: characters per tag, adjusted by the share of them in links. Every node's density sum is the sum over its
-children; the node with the largest sum is the core of the article. The threshold is the least density on the path from the core
-to body: beside the core, subtrees off that path count as article if they reach it. An enclosing <article> or <main> widens the core.
+A page becomes a tree without what is never text (scripts, styles, controls). Every node gets a density: characters per tag, adjusted
+by the share of them in links; one is added within both logarithms, so that a page without links has densities too. Every node's density sum
+is the sum over its children, and the node with the largest sum is the core of the article. Tags and names (class, id or role) only lower
+this: boxes that they call menus, headers, footers, sidebars, notices, adverts, forms or comments count a quarter, and once
+the core is found they are cut, unless they hold it or <main>, or the core would keep less than a quarter of its text (body: none) without them.
+
+The densities of the whole page, before the cut, set the thresholds, body's above all, the least on most paths. From the core the article widens to the highest box on its path that is clearly
+denser than body (1.25 times); a core that is body itself is left for those of its subtrees that are denser than it. Beside the
+article, subtrees off its path belong to it if they reach the least density on the path.
 """
 
 from __future__ import annotations
@@ -13,18 +16,21 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstream.llm.common import read, small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/])[^>]*$", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<(?=[a-zA-Z/])[^>]*$", re.S)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-CUT = frozenset("head script style textarea title xmp iframe noembed noframes noscript template nav header footer aside form button select option input object embed svg canvas audio video map dialog menu".split())
+HIDDEN = frozenset("head script style textarea title xmp iframe noembed noframes noscript template button select option input object embed svg canvas audio video map".split())
+ASIDE = frozenset("nav header footer aside form dialog menu".split())
+BOXES = frozenset("div section ul ol dl table details figure center fieldset".split())
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary"}
 PEERS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -37,14 +43,22 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """low: a tag or a name calls the node boilerplate. at, end: its place in page order and that after its subtree."""
 
-    def __init__(self, tag, parent, cut=False, named=False):
-        self.tag, self.parent, self.kids, self.cut, self.named = tag, parent, [], cut, named
+    __slots__ = ("tag", "parent", "kids", "cut", "low", "at", "end", "chars", "tags", "link_chars", "link_tags", "density", "total", "full")
 
+    def __init__(self, tag, parent, cut=False, low=False):
+        self.tag, self.parent, self.kids, self.cut, self.low = tag, parent, [], cut, low
 
-def _named(tag: str, attrs: str) -> bool:
-    if tag in ("body", "html", "article", "main") or not attrs:
+    def holds(self, other) -> bool:
+        return self.at <= other.at < self.end
+
+
+def _lowered(tag: str, attrs: str) -> bool:
+    """Boilerplate by tag, or by the class, id or role of a box; paragraphs, headings and the like have no say, nor have body, article and main."""
+    if tag in ASIDE:
+        return True
+    if tag not in BOXES or not attrs:
         return False
     for name, a, b, c in ATTR.findall(attrs):
         value = a or b or c
@@ -56,7 +70,15 @@ def _named(tag: str, attrs: str) -> bool:
 def parse(page: str) -> Node:
     """Tree of a page with the end tags that HTML implies; stray end tags are ignored. Text is in kids as strings."""
     root = at = Node("#root", None)
-    pos, end = 0, len(page)
+    pos, end, open_tags = 0, len(page), Counter()
+
+    def shut(inner: Node, outer: Node) -> Node:
+        """Close the open nodes from inner to outer; outer's parent is open then."""
+        while inner is not outer.parent:
+            open_tags[inner.tag] -= 1
+            inner = inner.parent
+        return inner
+
     while pos < end:
         m = TOKEN.search(page, pos)
         stop = m.start() if m else end
@@ -69,49 +91,54 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = at
+            up = at if open_tags[tag] else root
             while up is not root and up.tag != tag:
                 if tag == "p" and up.tag in ("div", "article", "section", "main", "body", "td", "li", "blockquote"):
                     up = root
                     break
                 up = up.parent
             if up is not root:
-                at = up.parent
+                at = shut(at, up)
             continue
         if tag in CLOSES_P or tag in PEERS:
             closing, fence = ("p",) if tag in CLOSES_P else PEERS[tag], FENCE.get(tag, ("div", "article", "section", "main", "body", "td", "th", "li", "blockquote", "table", "button", "object"))
             up = at
             while up is not root and up.tag not in fence:
                 if up.tag in closing:
-                    at = up.parent
+                    at = shut(at, up)
                     if tag not in PEERS:
                         break
                 up = up.parent
-        node = Node(tag, at, tag in CUT, tag not in CUT and _named(tag, m[3]))
+        node = Node(tag, at, tag in HIDDEN, tag not in HIDDEN and _lowered(tag, m[3]))
         at.kids.append(node)
         if tag in RAW:
-            shut = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            pos = shut.end() if shut else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            at = node
-        elif tag not in VOID and tag not in ("svg", "path"):
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+            pos = close.end() if close else end
+        elif tag not in VOID and (not m[3].rstrip().endswith("/") or tag not in ("svg", "path")):
             at = node
+            open_tags[tag] += 1
     return root
 
 
-def _walk(root: Node):
-    """Nodes that are not cut, children before parents."""
+def _walk(root: Node) -> list[Node]:
+    """Nodes that are not cut, in page order, each with its place and that after its subtree."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
+        n.at = n.end = len(order)
         order.append(n)
-        stack += [k for k in n.kids if isinstance(k, Node) and not k.cut]
-    return reversed(order)
-
-
-def _densities(root: Node) -> list[Node]:
-    nodes = list(_walk(root))
-    for n in nodes:
+        stack += [k for k in reversed(n.kids) if isinstance(k, Node) and not k.cut]
+    for n in reversed(order):
+        n.end = max(n.end, n.at + 1)
+        if n.parent is not None:
+            n.parent.end = max(n.parent.end, n.end)
+    return order
+
+
+def _densities(root: Node) -> tuple[Node, list[Node]]:
+    """Body, and its nodes in page order, with densities and density sums."""
+    nodes = _walk(root)
+    for n in reversed(nodes):
         n.chars = n.tags = n.link_chars = n.link_tags = 0
         for k in n.kids:
             if isinstance(k, str):
@@ -125,90 +152,71 @@ def _densities(root: Node) -> list[Node]:
             n.link_chars = n.chars
     body = next((n for n in nodes if n.tag == "body"), root)
     ratio = body.link_chars / max(1, body.chars)
-    for n in nodes:
+    for n in reversed(nodes):
         c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
         base = math.log(c / max(1, c - n.link_chars) * n.link_chars + ratio * c + math.e)
         n.density = c / t * math.log(c * t / (lc * lt) + 1.0) / math.log(base + 1.0) if c else 0.0
-        n.total = sum(k.density / (2 if k.named else 1) for k in n.kids if isinstance(k, Node) and not k.cut)
-    return nodes
+        n.total = sum(k.density / (4 if k.low else 1) for k in n.kids if isinstance(k, Node) and not k.cut)
+    return body, nodes[body.at : body.end]
 
 
-def _has(n: Node, core: Node) -> bool:
-    while core is not None and core is not n:
-        core = core.parent
-    return core is n
+def _above(n: Node, top: Node):
+    """Ancestors of n below top."""
+    n = n.parent
+    while n is not None and n is not top:
+        yield n
+        n = n.parent
 
 
-def _cut_named(root: Node) -> None:
-    """Cut the boxes that names call boilerplate, and clear the name of those that stay."""
-    nodes = _densities(root)
-    named = [n for n in nodes if n.named]
-    if not named:
+def _cut_lowered(root: Node) -> None:
+    """Keep the whole page's densities as full, cut the boxes that tags or names call boilerplate, and clear the mark of those that stay."""
+    body, nodes = _densities(root)
+    for n in (body, *nodes):
+        n.full = n.density
+    low = [n for n in nodes if n.low]
+    if not low:
         return
     under = {}
-    for n in reversed(nodes):  # parents before children
-        under[n] = n.named or under.get(n.parent, False)
-    body = next((n for n in nodes if n.tag == "body"), root)
-    core = max((n for n in reversed(nodes) if _has(body, n)), key=lambda n: n.total / (2 if under[n] else 1))
-    needed = {core, *(n for n in nodes if n.tag == "main" and n.chars)}
-    needed |= {up for n in needed for up in _above(n)}
-    inside = [n for n in named if n not in needed and _has(core, n)]
-    lost = sum(n.chars - n.link_chars for n in inside if not any(up.named for up in _below_core(n, core)))
+    for n in nodes:
+        under[n] = n.low or under.get(n.parent, False)
+    core = max(nodes, key=lambda n: n.total / (4 if under[n] else 1))
+    needed = [core, *(n for n in nodes if n.tag == "main" and n.chars)]
+    inside = [n for n in low if core.holds(n) and not any(n.holds(x) for x in needed)]
+    lost, last = 0, -1
+    for n in inside:
+        if n.at >= last:  # the outermost only
+            lost, last = lost + n.chars - n.link_chars, n.end
     whole = core.chars - core.link_chars
-    keep = needed.union(inside) if 4 * (whole - lost) < whole else needed
-    for n in named:
-        n.cut, n.named = n not in keep, False
-
-
-def _above(n: Node):
-    while n.parent is not None:
-        n = n.parent
-        yield n
-
+    left = whole - lost
+    keep = set(inside) if (not left if core is body else 4 * left < whole) else set()
+    for n in low:
+        n.cut = n not in keep and not any(n.holds(x) for x in needed)
+        n.low = False
 
-def _below_core(n: Node, core: Node):
-    """Ancestors of n that lie below core."""
-    for up in _above(n):
-        if up is core:
-            return
-        yield up
 
-
-def _chosen(root: Node) -> list[Node]:
+def _chosen(root: Node, clear: float = 1.25) -> list[Node]:
     """The subtrees that are the article, in page order."""
-    _cut_named(root)
-    nodes = _densities(root)
-    body = next((n for n in nodes if n.tag == "body"), root)
-    inside = [n for n in nodes if _has(body, n)]
-    core = max(reversed(inside), key=lambda n: n.total)
+    _cut_lowered(root)
+    body, nodes = _densities(root)
+    core = max(nodes, key=lambda n: n.total)
     if core.total == 0:
         return [body]
-    up = core
-    while up is not None and up is not body:
-        if up.tag in ("article", "main"):
-            core = up
-        up = up.parent
-    if core.tag in ("article", "main"):
-        return [n for n in reversed(inside) if n.tag == core.tag and n.parent is core.parent] if core.tag == "article" else [core]
-    path, up = [], core
-    while up is not body and up is not None:
-        path.append(up)
-        up = up.parent
-    least = min([n.density for n in path] + [body.density])
-    out: list[Node] = []
-
-    def take(n: Node) -> None:
-        for k in n.kids:
-            if isinstance(k, Node) and not k.cut:
-                if k is core or not _has(k, core) and k.chars and k.density >= least:
-                    out.append(k)
-                elif _has(k, core):
-                    take(k)
-
     if core is body:
-        return [body]
-    take(body)
-    return out
+        out = [k for k in body.kids if isinstance(k, Node) and not k.cut and k.chars and k.full > body.full]
+        loose = any(isinstance(k, str) and k.strip() for k in body.kids)  # text that is body's own
+        return [body] if loose or not out else out
+    path = list(_above(core, body))
+    least = min(n.full for n in (core, *path, body))
+    top = next((n for n in reversed(path) if n.full >= clear * body.full), core)
+    if top is not core:
+        path = list(_above(top, body))
+    beside, last = {top}, -1
+    for n in nodes:  # topmost subtrees off the path; none of their parts is met again
+        if n.at >= last and n is not body and not n.holds(top):
+            last = n.end if top.holds(n) or n.density >= least and n.chars else last
+            if n.chars and n.density >= least and not top.holds(n):
+                beside.add(n)
+    return sorted(beside, key=lambda n: n.at)
 
 
 def _blocks(n: Node) -> list[str]:
@@ -240,7 +248,7 @@ def _blocks(n: Node) -> list[str]:
 
 
 def extract(page: str | None) -> str:
-    """Main text of one whole page; null and empty pages, and pages without text, give ''."""
+    """Main text of one whole page; null and empty pages, and pages without text, give ''. Of nodes with equal sums the outermost, first one is the core."""
     if not page:
         return ""
     root = parse(page)
@@ -248,7 +256,9 @@ def extract(page: str | None) -> str:
 
 
 def extract_pages(spark: SparkSession, pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with a column text (replacing one of that name), the main text of html_col."""
+    """pages with a column text (replacing one of that name; other columns stay), the main text of html_col. Repeated pages are read each;
+    an empty table gives no rows.
+    """
     small_batches(spark)
 
     @F.udf("string", useArrow=True)

@@ -268,6 +268,115 @@ def test_html_keeps_articles_in_named_wrappers():
     assert extract(f"<body><div>{text}<div class=comments>{text * 2}</div></div></body>") == want  # a name still lowers
 
 
+def plain_main_text(page):
+    """Composite text density stated plainly, for well-formed pages of div, section, p, h2, a and nav: every quantity anew for every node."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = self.now = {"tag": "#", "kids": [], "up": None}
+
+        def handle_starttag(self, tag, attrs):
+            self.now["kids"].append({"tag": tag, "kids": [], "up": self.now})
+            self.now = self.now["kids"][-1]
+
+        def handle_endtag(self, tag):
+            self.now = self.now["up"]
+
+        def handle_data(self, data):
+            self.now["kids"].append(" ".join(data.split()))
+
+    tree = Tree()
+    tree.feed(page)
+    (body,) = tree.root["kids"]
+    parts = lambda n: [k for k in n["kids"] if isinstance(k, dict)]
+    under = lambda n: [n, *(x for k in parts(n) for x in under(k))]
+    chars = lambda n: sum(chars(k) if isinstance(k, dict) else len(k) for k in n["kids"])
+    links = lambda n: chars(n) if n["tag"] == "a" else sum(map(links, parts(n)))
+
+    def density(n):
+        c, t, lc = chars(n), max(1, len(under(n)) - 1), links(n)
+        lt = max(1, sum(x["tag"] == "a" for x in under(n)[1:]))
+        base = math.log(c / max(1, c - lc) * lc + links(body) / max(1, chars(body)) * c + math.e)
+        return c / t * math.log(c * t / (max(1, lc) * lt) + 1) / math.log(base + 1) if c else 0.0
+
+    def above(n):
+        return [] if n is body or n["up"] is body else [n["up"], *above(n["up"])]
+
+    def blocks(n):
+        out, held = [], []
+        for k in [*n["kids"], None]:
+            if isinstance(k, dict) and k["tag"] == "a":
+                held += [x for x in k["kids"]]
+            elif isinstance(k, str):
+                held.append(k)
+            else:
+                out += ["".join(held)] if "".join(held).strip() else []
+                held = []
+                out += blocks(k) if k else []
+        return out
+
+    full = {id(n): density(n) for n in under(body)}
+    for n in under(body):
+        n["kids"] = [k for k in n["kids"] if not (isinstance(k, dict) and k["tag"] == "nav")]
+    core = max(under(body), key=lambda n: sum(map(density, parts(n))))
+    if core is body:
+        return "\n".join(b for k in parts(body) if full[id(k)] > full[id(body)] for b in blocks(k))
+    path = above(core)
+    least = min(full[id(n)] for n in [core, *path, body])
+    top = ([n for n in path if full[id(n)] >= 1.25 * full[id(body)]] or [core])[-1]
+
+    def taken(n):
+        if n is top:
+            return blocks(n)
+        if top in under(n):
+            return [b for k in parts(n) for b in taken(k)]
+        return blocks(n) if density(n) >= least and chars(n) else [b for k in parts(n) for b in taken(k)]
+
+    return "\n".join(taken(body))
+
+
+def test_html_density_equals_plain_version(spark):
+    from glyphstream.llm.html_extract import extract, extract_pages
+
+    random.seed(21)
+    words = lambda n: " ".join(random.choices("alpha beta gamma delta epsilon".split(), k=n))
+
+    def part(depth):
+        kind = random.random()
+        if depth > 3 or kind < 0.45:
+            return f"<p>{words(random.choice((3, 20, 60)))}</p>"
+        if kind < 0.6:
+            return "<div>" + "".join(f"<a>{words(1)}</a>" for _ in range(random.randint(1, 6))) + "</div>"
+        if kind < 0.7:
+            return f"<h2>{words(2)}</h2>"
+        if kind < 0.78:
+            return f"<nav><p>{words(4)}</p></nav>"
+        tag = random.choice(("div", "section"))
+        return f"<{tag}>" + "".join(part(depth + 1) for _ in range(random.randint(1, 6))) + f"</{tag}>"
+
+    pages = ["<body>" + "".join(f"<div>{part(0)}{part(1)}</div>" for _ in range(random.randint(1, 4))) + f"<div><p>{words(30)}</p></div></body>" for _ in range(250)]
+    want = [plain_main_text(p) for p in pages]
+    assert [extract(p) for p in pages] == want
+    assert sum(len(w) < len(re.sub("<[^>]*>", "", p)) for p, w in zip(pages, want)) > 100  # it does choose
+    rows = [(i, None if i % 9 == 0 else p, "clash") for i, p in enumerate(pages[:30])]
+    df = spark.createDataFrame(rows + rows[:3], "page_id long, html string, text string")
+    got = sorted((r.page_id, r.text) for r in extract_pages(spark, df).collect())
+    assert got == sorted((i, "" if p is None else want[i]) for i, p, _ in rows + rows[:3])
+    assert extract_pages(spark, df.limit(0)).count() == 0
+
+
+def test_html_odd_markup():
+    from glyphstream.llm.html_extract import extract
+
+    assert extract("<div>" * 10_000 + "<p>deep text</p>") == "deep text"
+    assert extract("<body><span>" * 5_000 + "x</p>" * 5_000).replace("\n", "") == "x" * 5_000
+    kept = '<article><p title=5" wide>Hello there, this is a text.</p><h2 class="related-work">Related work</h2><p class="notice">Notice this.</p><div class=notice>Cookies!</div></article>'
+    assert extract(f"<body>{kept}</body>") == "Hello there, this is a text.\nRelated work\nNotice this."
+    assert extract("<p>a < b <a href='x>y'>c</a>") == "a < b c"
+
+
 def base_spans(x):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", x, re.I | re.A):
