@@ -406,6 +406,38 @@ def test_secrets(spark):
     assert got[0].r is None and scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_secrets_in_one_long_text(spark):
+    """Thousands of matches in one text, base spans and tokens mixed, against the plain spans and a plain redaction."""
+    from glyphstream.llm.secrets import scan, spelled, redact, KINDS
+
+    random.seed(22)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    part = lambda: random.choice(["token=" + "".join(random.choices(letters, k=12)), "AKIA" + "Q7" * 8 + "é", "deadbeef" * 3 + "01", "".join(random.choices(letters, k=40)), "𝄞 word", "key-" + "".join(random.choices(letters, k=30)) + " password=abcdef1/", "xx" + "ab12" * 8 + "Z"])
+    text = " ".join(part() for _ in range(6_000))
+    began = __import__("time").time()
+    got = scan(docs(spark, [text, "none", None])).select("doc_id", spelled(F.col("found")).alias("spans"), redact(F.col("text"), F.col("found")).alias("r")).collect()
+    took = __import__("time").time() - began
+    row = next(r for r in got if r.doc_id == 0)
+    spans = [(int(a), KINDS.index(k), int(e)) for k, a, e in (x.split(":") for x in row.spans.split(","))]
+    base = base_spans(text)
+    assert spans == sorted(spans) and [x for x in spans if x[1] < 3] == base
+    covered = np.zeros(len(text) + 1, bool)
+    for a, _, e in base:
+        covered[a:e] = True
+    free = {(m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])", text) if not covered[m.start() : m.end()].any()}
+    extra = [(a, e) for a, k, e in spans if k == 3]
+    assert len(extra) > 500 and set(extra) <= free
+    for a, e in extra:
+        covered[a:e] = True
+    plain = "".join("\0" if c else x for x, c in zip(text, covered))
+    want, at = "", 0
+    for a, _, e in spans:
+        want += text[at:a] + "[SECRET]" if a >= at else ""
+        at = max(at, e)
+    assert row.r == want + text[at:] and plain.count("\0") == covered.sum()
+    assert took < 60
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
