@@ -4,11 +4,12 @@ Writing: each payload becomes an HTTP response in chunked transfer framing insid
 bytes continue in continuation records that name the origin's id and their segment number, the last with the total length. A
 payload that an earlier record already has becomes a revisit record without a body. Records are gzip members,
 gathered into archives of about `archive_bytes`, and archives are rows of a Parquet table in the shared folder, so any store that
-Spark writes can hold them and a lost executor's task is simply run again. Plain .warc and .warc.gz files are read by
-read_files.
+Spark writes can hold them and a lost executor's task is simply run again. write_files and read_files exchange them with
+.warc.gz (and plain .warc) files.
 
 Reading: archives are parsed record by record; only segmented records are shuffled, by origin id, put in the order of
-their numbers, and held to the total length and to a gapless numbering before the chunked framing is decoded.
+their numbers, and held to the total length and to a gapless numbering before the chunked framing is decoded. A revisit's
+payload is that of the record it refers to, found by a join of the narrow decoded rows.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm.common import fresh_path, read
+from glyphstream.llm.common import fresh_path, materialize, read
 
-RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length bigint, segment int, origin_id string, total_length bigint, page_id bigint, refers_page bigint, body binary"
+RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, segment int, origin_id string, total_length bigint, page_id bigint, refers_page bigint, body binary"
 
 
 class WarcError(ValueError):
@@ -106,18 +108,18 @@ def _plain(raw: bytes):
             at += 2
 
 
-def record_name(page_id: int | None, row: int | None) -> str:
-    """Record id of a page; the row number keeps apart pages that share an id or have none."""
-    return f"<urn:page:{'none' if page_id is None else page_id}{'' if row is None else f':row{row}'}>"
+def record_name(page_id: int | None, mark: str = "") -> str:
+    """Record id of a page; the mark tells apart records of pages that share an id or have none."""
+    return f"<urn:page:{'none' if page_id is None else page_id}{mark and ':'}{mark}>"
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment: int, row: int | None = None, refers_row: int | None = None) -> list[bytes]:
-    """The records of one page: a revisit, a response, or a response and its continuations."""
-    me, uri = record_name(page_id, row), "".join((url or "urn:none").split())
-    common = [*([("X-Page-ID", str(page_id))] if page_id is not None else []), ("WARC-Target-URI", uri), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload)))]
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment: int, mark: str = "") -> list[bytes]:
+    """The records of one page: a revisit, a response, or a response and its continuations. The response that revisits refer to is marked by its digest."""
+    me, uri = record_name(page_id, mark), "".join((url or "urn:none").split())
+    common = [*([("X-Page-ID", str(page_id))] if page_id is not None else []), ("WARC-Target-URI", uri), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", me), ("WARC-Refers-To", record_name(refers_to, refers_row)), ("X-Refers-To-Page-ID", str(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common, ("Content-Type", "application/http; msgtype=response")], block)]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", me), ("WARC-Refers-To", record_name(refers_to, digest)), ("X-Refers-To-Page-ID", str(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common, ("Content-Type", "application/http; msgtype=response")], block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     head = [("WARC-Type", "response"), ("WARC-Record-ID", me), *common, ("Content-Type", "application/http; msgtype=response")]
     if len(block) <= segment:
@@ -130,31 +132,43 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
     return out
 
 
-def with_revisits(pages: DataFrame, html: str = "html", least: int = 100) -> DataFrame:
-    """pages (page_id, url, html) with payload, digest, refers_to (the smallest page_id of those with an equal payload of `least` bytes), row and refers_row.
+def with_revisits(pages: DataFrame, html: str = "html", least: int = 100, small: int = 200_000) -> DataFrame:
+    """pages (page_id, url, html) with payload, digest, refers_to (the smallest page_id of those with an equal payload of `least` bytes) and
+    lead, true for the one row that revisits of its payload refer to.
 
-    row is a number of its own for every row; refers_row is that of a row of the page referred to, as long as pages give the
-    same partitions whenever they are read, as tables do.
-    A payload that very many pages share is one row of the grouped minimum, and a skewed key of a plain join.
+    A payload that very many pages share is one row of the grouped minimum. Digests that occur twice are gathered first: up to `small` of
+    them (some 100 bytes each) go to every task, and payloads stay where they are; more meet their digest in a shuffle join, in which a
+    very frequent one is a skewed key that adaptive execution splits. Where the smallest page_id itself repeats, its rows
+    are written once, for only then a row can be told from its equals.
     """
-    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("bigint"), "url", payload.alias("payload"), F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("row", "page_id").alias("first_row"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(first, "digest", "left")
-    later = F.col("first") < F.col("page_id")
-    return joined.select("page_id", "url", "payload", "digest", F.when(later, F.col("first")).alias("refers_to"), "row", F.when(later, F.col("first_row")).alias("refers_row"))
+    spark, payload = pages.sparkSession, F.coalesce(F.col(html), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("bigint"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    counts = rows.where(F.octet_length("payload") >= least).groupBy("digest", "page_id").count()
+    twice = counts.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("count", "page_id").alias("firsts"), F.sum("count").alias("n")).where("n > 1").drop("n")
+    twice = materialize(spark, twice, "repeated-digests")
+    n, repeated = twice.agg(F.count("*"), F.coalesce(F.max("firsts"), F.lit(0))).first()
+    met = rows.join(F.broadcast(twice) if n <= small else twice, "digest", "left")
+    leads = F.coalesce(F.col("first") == F.col("page_id"), F.lit(False))
+    out = lambda df, lead: df.select("page_id", "url", "payload", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"), lead.alias("lead"))
+    if repeated <= 1:
+        return out(met, leads)
+    several = leads & (F.col("firsts") > 1)
+    equals = materialize(spark, met.where(several), "repeated-pages").withColumn("row", F.monotonically_increasing_id())
+    low = equals.groupBy("digest").agg(F.min("row").alias("low"))
+    return out(met.where(~F.coalesce(several, F.lit(False))), leads).union(out(equals.join(low, "digest"), F.col("row") == F.col("low")))
 
 
 def write_archives(spark: SparkSession, rows: DataFrame, path: str, segment: int = 16_384, archive_bytes: int = 4 << 20) -> None:
-    """rows (page_id, url, payload, digest, refers_to, row, refers_row) as a Parquet table of archives (archive binary) at path."""
+    """rows (page_id, url, payload, digest, refers_to, lead) as a Parquet table of archives (archive binary) at path."""
 
     def write(batches):
         import pyarrow as pa
 
-        held, size = [], 0
+        held, size, task, n = [], 0, TaskContext.get().partitionId(), 0
         for b in batches:
-            for *page, row, refers_row in zip(*(b.column(k).to_pylist() for k in range(7))):
-                for r in page_records(*page, segment, row, refers_row):
+            for *page, lead in zip(*(b.column(k).to_pylist() for k in range(6))):
+                n += 1
+                for r in page_records(*page, segment, page[3] if lead else f"row{task}.{n}"):
                     held.append(zipped(r))
                     size += len(held[-1])
                     if size >= archive_bytes:  # the segments of a long record may lie in two archives
@@ -164,7 +178,33 @@ def write_archives(spark: SparkSession, rows: DataFrame, path: str, segment: int
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
 
     # archives are gzip already
-    rows.select("page_id", "url", "payload", "digest", "refers_to", "row", "refers_row").mapInArrow(write, "archive binary").write.option("compression", "none").parquet(path)
+    rows.select("page_id", "url", "payload", "digest", "refers_to", "lead").mapInArrow(write, "archive binary").write.option("compression", "none").parquet(path)
+
+
+def write_files(archives: DataFrame, path: str) -> int:
+    """archives (archive binary) as .warc.gz files in a folder that executors share (a local path or a URI that pyarrow knows); their number.
+
+    A file is named by its content, written beside its place and then moved, so a task that runs again replaces what it wrote.
+    """
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            names = []
+            for archive in b.column(0).to_pylist():
+                name = f"{base}/{hashlib.sha256(archive).hexdigest()[:32]}.warc.gz"
+                part = f"{name}.{TaskContext.get().taskAttemptId()}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(archive)
+                store.move(part, name)
+                names.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    return archives.select("archive").mapInArrow(write, "name string").distinct().count()
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -179,11 +219,11 @@ def read_records(archives: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         number = lambda x: int(x) if x else None
-        schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("segment", pa.int32()), ("origin_id", pa.string()), ("total_length", pa.int64()), ("page_id", pa.int64()), ("refers_page", pa.int64()), ("body", pa.binary())])
+        schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("segment", pa.int32()), ("origin_id", pa.string()), ("total_length", pa.int64()), ("page_id", pa.int64()), ("refers_page", pa.int64()), ("body", pa.binary())])
         for b in batches:
             for archive in b.column(0).to_pylist():
                 rows = [
-                    (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), number(h.get("x-payload-length")), number(h.get("warc-segment-number")), h.get("warc-segment-origin-id"), number(h.get("warc-segment-total-length")), number(h.get("x-page-id")), number(h.get("x-refers-to-page-id")), block)
+                    (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), number(h.get("warc-segment-number")), h.get("warc-segment-origin-id"), number(h.get("warc-segment-total-length")), number(h.get("x-page-id")), number(h.get("x-refers-to-page-id")), block)
                     for h, block in records(archive or b"")
                 ]
                 if rows:
@@ -206,7 +246,8 @@ def reassemble(found: DataFrame) -> DataFrame:
         F.max("total_length").alias("total"),
         F.array_sort(F.collect_list(F.struct("segment", "body"))).alias("parts"),
     )
-    body = F.aggregate("parts", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["body"]))
+    # no function joins an array of binaries; hexadecimal text does it in time that grows with the record, which a fold would not
+    body = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["body"])), ""))
     numbered = F.transform("parts", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("parts"))
     joined = grouped.withColumn("body", body)
     ok = numbered & F.coalesce(F.octet_length("body") == F.col("total"), F.lit(False))
@@ -215,7 +256,11 @@ def reassemble(found: DataFrame) -> DataFrame:
 
 
 def payloads(found: DataFrame) -> DataFrame:
-    """Whole records with the payload's length and SHA-256, its transfer framing decoded; a response is held to its own digest."""
+    """Whole records with the payload's length and SHA-256, its transfer framing decoded; a response is held to its own digest.
+
+    A revisit takes both from the response that it refers to, and is held to its digest; where that record is not among those found,
+    its length is null and the digest the one stated.
+    """
     fields = "record_id string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, page_id bigint, refers_page bigint"
 
     def decode(batches):
@@ -223,8 +268,8 @@ def payloads(found: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for rid, kind, refers, digest, length, page, refers_page, body in zip(*(b.column(k).to_pylist() for k in range(8))):
-                stated = (digest or "").removeprefix("sha256:")
+            for rid, kind, refers, digest, page, refers_page, body in zip(*(b.column(k).to_pylist() for k in range(7))):
+                stated, length = (digest or "").removeprefix("sha256:"), None
                 if kind == "response":
                     payload = http_payload(body)
                     length, got = len(payload), hashlib.sha256(payload).hexdigest()
@@ -235,7 +280,13 @@ def payloads(found: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k in (3, 5, 6) else pa.string()) for k, c in enumerate(cols)], ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "page_id", "refers_page"])
 
-    return found.select("record_id", "record_type", "refers_to", "payload_digest", "payload_length", "page_id", "refers_page", "body").mapInArrow(decode, fields)
+    rows = materialize(found.sparkSession, found.select("record_id", "record_type", "refers_to", "payload_digest", "page_id", "refers_page", "body").mapInArrow(decode, fields), "records")
+    later, names = F.col("record_type") == "revisit", rows.columns
+    origins = rows.where(~later).join(rows.where(later).select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi")
+    met = rows.where(later).join(origins.select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d")), "refers_to", "left")
+    differs = F.raise_error(F.concat(F.col("record_id"), F.lit(": payload digest differs"))).cast("string")
+    resolved = met.withColumn("payload_bytes", F.col("n")).withColumn("payload_digest", F.when(F.col("d").isNull() | (F.col("payload_digest") == "") | (F.col("d") == F.col("payload_digest")), F.coalesce("d", "payload_digest")).otherwise(differs))
+    return rows.where(~later).unionByName(resolved.select(names))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -533,11 +533,19 @@ def test_warc_round_trip(spark, tmp_path):
     parts = warc.page_records(1, "u", b"p" * 5000, "", None, 1000)
     (tmp_path / "a.warc").write_bytes(b"".join(reversed(parts)))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(map(warc.zipped, warc.page_records(2, "u", b"hi", "", None, 1000))))
-    rows = warc.payloads(warc.reassemble(warc.read_records(warc.read_files(spark, str(tmp_path))))).collect()
+    rows = warc.payloads(warc.reassemble(warc.read_records(warc.read_files(spark, str(tmp_path / "*.warc*"))))).collect()
     assert sorted((r.record_id, r.payload_bytes) for r in rows) == [("<urn:page:1>", 5000), ("<urn:page:2>", 2)]
+    path = warc.fresh_path(spark, "warc-test")
+    warc.write_archives(spark, warc.with_revisits(df, small=0), path)
+    archives = spark.read.parquet(path)
+    assert warc.write_files(archives, str(tmp_path / "out")) == archives.count() == len(list((tmp_path / "out").iterdir()))
+    again = warc.payloads(warc.reassemble(warc.read_records(warc.read_files(spark, str(tmp_path / "out"))))).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type) for r in again) == sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type) for r in got.values())
+    revisits = warc.read_records(archives).where("record_type = 'revisit'")
+    assert [r.payload_bytes for r in warc.payloads(revisits).collect()] == [None] * 2
     (tmp_path / "a.warc").write_bytes(b"".join(parts[:2] + parts[3:]))
     with pytest.raises(Exception, match="not whole"):
-        warc.reassemble(warc.read_records(warc.read_files(spark, str(tmp_path)))).collect()
+        warc.reassemble(warc.read_records(warc.read_files(spark, str(tmp_path / "*.warc*")))).collect()
     assert warc.dechunk(b"3;x=1\r\nabc\r\n0\r\nT: v\r\n\r\n") == b"abc"
     for bad in (b"3\r\nab", b"zz\r\n", b"3"):
         with pytest.raises(warc.WarcError):
