@@ -582,13 +582,41 @@ def test_nearest_equals_brute_force(spark):
     v = rng.normal(size=(700, 8)).round(1)
     v[100:300] = v[7]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [None, 1.0]), (904, [float("inf")] + [0.0] * 7), (905, [1.0, 2.0]), (906, [2.0, 4.0]), (None, v[0].tolist())]
+    rows += [rows[50], rows[50], (350, v[51].tolist()), (351, v[350].tolist()), (351, v[3].tolist())]  # repeated rows, ids with two vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
-    got = {}
-    for r in nearest(spark, df, df.where("vec_id % 50 = 0 or vec_id > 900"), 5, shard_rows=200, block_rows=4).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    for q in range(0, 700, 50):
-        c = (v * v[q]).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((v[q] ** 2).sum()))
-        want = [i for _, i in sorted((-s, i) for i, s in enumerate(c.tolist()) if i != q)[:5]]
-        assert [i for _, i, _ in sorted(got[q])] == want
-    assert [x[1] for x in got[905]] == [906] and set(got) == set(range(0, 700, 50)) | {905, 906}
-    assert nearest(spark, df.limit(0), df, 5).count() == 0
+    fine = [(i, np.array(x)) for i, x in rows if i is not None and i < 900]
+
+    def brute(at):
+        i, q = fine[at]
+        c = [(-float((x * q).sum() / (np.sqrt((x * x).sum()) * np.sqrt((q * q).sum()))), j) for n, (j, x) in enumerate(fine) if n != at]
+        return [(r + 1, j) for r, (_, j) in enumerate(sorted(c)[:5])]
+
+    want = sorted((i, *x) for at, (i, _) in enumerate(fine) if i % 50 == 0 for x in brute(at))
+    for args in ({}, {"shard_rows": 60, "block_rows": 4}, {"shard_rows": 100, "sample_rows": 40}):
+        got = nearest(spark, df, df.where("vec_id % 50 = 0 or vec_id > 900"), 5, **args).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got if r.query_id < 900) == want
+        assert {(r.query_id, r.vec_id) for r in got if r.query_id > 900} == {(905, 906), (906, 905)}
+    assert nearest(spark, df.limit(0), df, 5).count() == 0 and nearest(spark, df, df.limit(0), 5).count() == 0
+
+
+def test_nearest_prunes():
+    from glyphstream.llm.ann import Router, VPTree, unit
+
+    rng = np.random.default_rng(10)
+    taken, visits = {}, {}
+    for n in (2_000, 16_000):  # clusters of about 50 points: what a query touches must not grow with the table
+        centres = rng.normal(size=(n // 50, 24))
+        u = unit(centres[rng.integers(len(centres), size=n)] + 0.05 * rng.normal(size=(n, 24)))
+        tree, q = VPTree(u), u[:100]
+        row, at = tree.near(q, 6)
+        exact = np.argsort(-(q @ u.T), axis=1, kind="stable")[:, :6]
+        assert all(set(exact[r]) <= set(at[row == r].tolist()) for r in range(100))
+        taken[n] = tree.compared / 100
+        far = np.sqrt(np.maximum(0, 2 - 2 * np.sort(q @ u.T, axis=1)[:, -6]))
+        router = Router(u[:2_000], n // 500)
+        visits[n] = len(router.within(q, far)[0]) / 100
+        assert (router.home(u) >= 0).all() and len(set(router.home(u).tolist())) == router.shards
+        tree.compared = 0
+        tree.near(q, 6, factor=4.0)
+        assert tree.compared / 100 < taken[n]
+    assert taken[16_000] < 3 * taken[2_000] and visits[16_000] < 32 / 2, (taken, visits)
