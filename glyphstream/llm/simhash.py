@@ -1,12 +1,16 @@
 """SimHash near-duplicates by anchor-point covering.
 
 A fingerprint has 64 bits; two link at 3 or fewer differing bits, so in one of the two 32-bit halves they differ in
-at most one. Over a half, the anchors are a covering code: the direct sum of the binary Golay code (23 bits, radius 3), the
-Hamming code (7 bits, radius 1) and two free bits (radius 0). Both codes are perfect, so every half has exactly one home anchor
+at most one. Over a half, the anchors are a covering code: a direct sum of perfect codes (Golay: 23 bits, radius 3; Hamming: 31 or 7 bits,
+radius 1) and free bits (radius 0). Perfect codes give every half exactly one home anchor
 within the covering radius, found from the syndrome. A half is replicated to every anchor within covering radius plus one
-(counted part by part, which keeps only anchors that can be the home of a half one bit away: at most 11), and at
+(counted part by part, which keeps only anchors that can be the home of a half one bit away), and at
 each anchor the homes are compared with the replicas on all 64 bits. No link can be missed.
 
+The code is chosen by the number of distinct fingerprints, so that anchors are at least as many (2^18, 2^21, 2^27 or, all bits free, 2^32 anchors a
+half): an anchor is home to about one fingerprint, replicas are at most 33 a half, and comparisons grow with the
+table, not with its square (beyond 2^32 fingerprints by one 2^32th of it).
+
 Equal fingerprints are one row before anything is compared, so copies cost nothing here. A dense group of near copies would
 still give all its pairs; so links to one pivot of each anchor are resolved into components first, and only
 fingerprints that are not yet in one component are compared.
@@ -23,8 +27,11 @@ from pyspark.sql import functions as F
 from glyphstream.llm.common import materialize, read, small_batches, text_bytes
 from glyphstream.llm.components import connected_components
 
-GOLAY = 0b101011100011  # generator polynomial of the [23,12] code, fixed value
-HAMMING = 0b1011  # generator polynomial of the [7,4] code, fixed value
+GOLAY = 23, 0b101011100011, 3  # bits, generator polynomial and radius of the [23,12] code, fixed values
+HAMMING7 = 7, 0b1011, 1  # of the [7,4] code
+HAMMING31 = 31, 0b100101, 1  # of the [31,26] code
+#: Parts of a 32-bit half by falling covering radius; the bits that are left are free.
+COVERS = ((GOLAY, HAMMING7), (GOLAY,), (HAMMING31,), ())
 
 
 def fingerprint(raw: bytes, n: int = 3, chunk: int = 65_536) -> int:
@@ -99,40 +106,58 @@ class Code:
         return s
 
 
-def anchors(fp: np.ndarray, codes: tuple[Code, Code]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchor_bits(cover: tuple) -> int:
+    """Binary logarithm of the number of anchors of one half."""
+    return 32 - sum(poly.bit_length() - 1 for _, poly, _ in cover)
+
+
+def cover_for(n: int) -> tuple:
+    """The cover with the fewest anchors, and so the fewest replicas, that has at least one anchor for each of n fingerprints."""
+    return next((c for c in COVERS if n <= 1 << anchor_bits(c)), COVERS[-1])
+
+
+def anchors(fp: np.ndarray, cover: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (index into fp, anchor, is home) for signed 64-bit fingerprints; an anchor is half and 32-bit code word."""
-    golay, hamming = codes
+    codes = [Code(*part) for part in cover]
     rows, keys, home = [], [], []
     for half in (0, 1):
         x = (fp.view(np.uint64) >> np.uint64(32 * half)).astype(np.int64) & 0xFFFFFFFF
-        g, h, rest = x & 0x7FFFFF, x >> 23 & 0x7F, x >> 30
-        sg, sh = golay.syndrome(g), hamming.syndrome(h)
-        g0, h0 = g ^ golay.near[sg], h ^ hamming.near[sh]
-        put = lambda gg, hh, rr, ok, first: (rows.append(np.flatnonzero(ok)), keys.append((half << 32 | rr << 30 | hh << 23 | gg)[ok]), home.append(np.full(int(ok.sum()), first)))  # noqa: B023, E731
-        every = np.ones(len(x), bool)
-        put(g0, h0, rest, every, True)
-        for free in (1, 2):
-            put(g0, h0, rest ^ free, every, False)
-        for k in range(golay.far.shape[1]):
-            e = golay.far[sg, k]
-            put(g ^ e, h0, rest, e >= 0, False)
-        for k in range(hamming.far.shape[1]):
-            e = hamming.far[sh, k]
-            put(g0, h ^ e, rest, e >= 0, False)
+        at, word, found = 0, x.copy(), []
+        for code in codes:
+            part = x >> at & (1 << code.bits) - 1
+            s = code.syndrome(part)
+            word ^= code.near[s] << at
+            found.append((at, part, s, code))
+            at += code.bits
+
+        def put(words, ok=None, first=False, half=half):
+            ok = np.ones(len(words), bool) if ok is None else ok
+            rows.append(np.flatnonzero(ok))
+            keys.append((half << 32 | words)[ok])
+            home.append(np.full(int(ok.sum()), first))
+
+        put(word, first=True)
+        for bit in range(at, 32):
+            put(word ^ 1 << bit)
+        for low, part, s, code in found:
+            rest = word & ~((1 << code.bits) - 1 << low)
+            for k in range(code.far.shape[1]):
+                e = code.far[s, k]
+                put(rest | (part ^ e) << low, e >= 0)
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(home)
 
 
 def links(spark: SparkSession, fps: DataFrame, within: int = 3) -> DataFrame:
     """Distinct fp bigint -> links (u, v) whose components are those of all pairs at `within` (3 at most) differing bits."""
     assert within <= 3, "two halves and radius plus one guarantee three differing bits"
+    cover = cover_for(fps.count())
 
     def spread(batches):
         import pyarrow as pa
 
-        codes = Code(23, GOLAY, 3), Code(7, HAMMING, 1)
         for b in batches:
             fp = np.asarray(b.column(0))
-            at, key, home = anchors(fp, codes)
+            at, key, home = anchors(fp, cover)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at]), pa.array(home)], ["anchor", "fp", "home"])
 
     placed = materialize(spark, fps.select("fp").mapInArrow(spread, "anchor bigint, fp bigint, home boolean"), "anchors")

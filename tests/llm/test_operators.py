@@ -116,7 +116,7 @@ def test_lm_scoring_equals_brute_force(spark):
 def test_simhash_equals_brute_force(spark):
     import xxhash
 
-    from glyphstream.llm.simhash import GOLAY, HAMMING, Code, anchors, near_duplicates
+    from glyphstream.llm.simhash import COVERS, anchor_bits, anchors, cover_for, near_duplicates
 
     def fp(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
@@ -143,11 +143,22 @@ def test_simhash_equals_brute_force(spark):
     # the covering misses no pair at three bits
     x = np.array([random.getrandbits(64) for _ in range(500)], np.uint64)
     y = np.array([int(a) ^ sum(1 << b for b in random.sample(range(64), 3)) for a in x], np.uint64)
-    codes = Code(23, GOLAY, 3), Code(7, HAMMING, 1)
-    (ra, ka, ha), (rb, kb, _) = anchors(x.view(np.int64), codes), anchors(y.view(np.int64), codes)
-    home = {(i, k) for i, k, h in zip(ra.tolist(), ka.tolist(), ha.tolist()) if h}
-    met = {i for i, k in zip(rb.tolist(), kb.tolist()) if (i, k) in home}
-    assert met == set(range(500))
+    pairs = {}
+    for cover in COVERS:
+        (ra, ka, ha), (rb, kb, _) = anchors(x.view(np.int64), cover), anchors(y.view(np.int64), cover)
+        home = {(i, k) for i, k, h in zip(ra.tolist(), ka.tolist(), ha.tolist()) if h}
+        met = {i for i, k in zip(rb.tolist(), kb.tolist()) if (i, k) in home}
+        assert met == set(range(500)) and len(home) == 1000
+        assert len(ra) <= 66 * 500
+    assert [anchor_bits(cover_for(n)) for n in (0, 1 << 18, 1 << 19, 1 << 22, 1 << 28, 1 << 40)] == [18, 18, 21, 27, 32, 32]
+    for n in (1 << 17, 1 << 19, 1 << 20):  # comparisons a fingerprint stay level where the code follows the table's size
+        fp = np.random.default_rng(n).integers(0, 1 << 63, n, np.int64) * 2 + 1
+        _, key, home = anchors(fp, cover_for(n))
+        names, count = np.unique(key[home], return_counts=True)
+        at = np.searchsorted(names, key)
+        at[at == len(names)] = 0
+        pairs[n] = int(count[at][names[at] == key].sum()) / n
+    assert max(pairs.values()) < 40, pairs
 
 
 def test_components(spark):
