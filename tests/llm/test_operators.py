@@ -182,6 +182,24 @@ def test_language_id(spark):
     got = identify(spark, held, dicts).collect()
     assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in got) and sum(r.rejected for r in got) == 3
     assert identify(spark, held, {}).where("lang_pred <> 'und'").count() == 0
+    assert identify(spark, held.limit(0), dicts).count() == 0
+    whole = identify(spark, held, dicts, into="told").select("margin", "told.*").collect()
+    assert all(tuple(r)[0] == "clash" for r in whole) and sorted(tuple(r)[1:] for r in whole) == sorted((r.lang_pred, r.score, r.margin, r.rejected) for r in got)
+    letters = "".join(map(chr, range(97, 123)))
+    junk = [" ".join("".join(random.choices(letters, k=random.randint(2, 9))) for _ in range(n)) for n in (10, 100, 1000) for _ in range(30)]
+    odd = identify(spark, docs(spark, [*junk, "½ ² Ⅷ ①", "the water", "the the haus haus"]), dicts).orderBy("doc_id").collect()
+    assert sum(r.rejected for r in odd[: len(junk)]) >= 0.9 * len(junk)
+    assert (odd[-3].lang_pred, odd[-3].score) == ("und", 0.0) and all(r.rejected == (r.lang_pred == "und" or r.margin < 0.5) for r in odd)
+
+
+def test_samples_stay_bounded(spark):
+    from glyphstream.llm.langid import sample_by_class
+
+    rows = [(None, f"a {i}", "x") for i in range(4000)] + [(7, f"b {i}", "y") for i in range(4000)] + [(8, "same", "z")] * 3000
+    rows += [(i, "t", f"rare {i}") for i in range(600)]
+    drawn, classes = sample_by_class(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "lang", 100)
+    got = {r.lang: r["count"] for r in drawn.groupBy("lang").count().collect()}
+    assert len(classes) == 603 and 50 < got["x"] < 160 and 50 < got["y"] < 160 and got.get("z", 0) <= 1 and all(got[f"rare {i}"] == 1 for i in range(600))
 
 
 def test_toxicity_held_out(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_operators import DOC, base_spans
 
-REJECT, SHORT = 0.0005, 200
+NARROW = 0.5
 
 
 def fixture():
@@ -45,11 +45,14 @@ def brute(rows, items):
 
     dicts = {}
     for k in sorted(count, key=lambda k: (-count[k], k)):
-        dicts[k] = b"\n".join(letters_of(t[:65_536]) for _, t in sorted((order(i), t) for i, t, x in learn if x == k))[:65_536]
+        mine = []
+        for _, t in sorted({(order(i), t) for i, t, x in learn if x == k}):
+            mine += [letters_of(t)] if sum(map(len, mine)) < 65_536 else []
+        dicts[k] = b"\n".join(mine)
     coder, kept = Compressor(dicts), []
     for i, t, _ in rows:
         lang, _, margin = coder.classify(t)
-        if lang != "und" and not (margin < REJECT and len(t.encode()) >= SHORT):
+        if lang != "und" and margin >= NARROW:
             kept.append((i, t))
 
     def fp(t):
