@@ -28,8 +28,8 @@ def words_of(text: str | None) -> set[str]:
     return words | {"^" + w[:5] for w in words if len(w) > 5} | {"^" + w[:4] for w in words if len(w) > 4}
 
 
-def features(rows: DataFrame, n_pos: int, n_unl: int, least: int, z: float, most: int) -> list[str]:
-    """Words whose share of texts differs between P and U by at least z standard errors, strongest first; `most` at most.
+def features(rows: DataFrame, n_pos: int, n_unl: int, least: int, z: float) -> list[str]:
+    """Words whose share of texts differs between P and U by at least z standard errors, strongest first.
 
     Counted on the executors over the sampled texts (p, words); only the chosen words reach the driver.
     """
@@ -37,7 +37,7 @@ def features(rows: DataFrame, n_pos: int, n_unl: int, least: int, z: float, most
     share = F.col("n") / (n_pos + n_unl)
     gap = F.abs(F.col("a") / n_pos - (F.col("n") - F.col("a")) / n_unl) / F.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_unl))
     found = count.where(share < 1).withColumn("z", gap).where(F.col("z") >= z)
-    return [r.w for r in found.orderBy(F.desc("z"), "w").limit(most).collect()]
+    return [r.w for r in found.orderBy(F.desc("z"), "w").collect()]
 
 
 def train_pu(pos: list[list[int]], unl: list[list[int]], names: list[str], prior: float, steps: int = 1500, rate: float = 0.1, l2: float = 1e-4) -> tuple[dict[str, float], float]:
@@ -73,21 +73,22 @@ def train_pu(pos: list[list[int]], unl: list[list[int]], names: list[str], prior
     return dict(zip(names, w[:-1].tolist())), float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least: int = 5, z: float = 6.0, most: int = 4096) -> tuple[dict[str, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least: int = 5, z: float = 6.0) -> tuple[dict[str, float], float]:
     """docs (doc_id, text) to learn from, labels (doc_id, toxic). P: labelled toxic; U: a sample of all texts, labels unread.
 
-    Repeated labels of one doc_id: toxic if any is. Null labels and texts are left out.
+    Repeated labels of one doc_id: toxic if any is. Null labels and texts are left out; rows that repeat id and text are one row of the
+    sample. Other columns are not read. Without toxic labels, or texts: no weights, and the bias is the prior's log odds.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = docs.select("doc_id").join(known, "doc_id", "left_semi").count()
     texts = docs.where("text is not null").select("doc_id", "text")
     positive = texts.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    kind = positive.withColumn("p", F.lit(1)).union(texts.withColumn("p", F.lit(0)))
+    kind = positive.select("doc_id", "text", F.lit(1).alias("p")).union(texts.select("doc_id", "text", F.lit(0).alias("p")))
     rows = materialize(spark, sample_by_class(kind, "doc_id", "p", per_class)[0].mapInArrow(_word_sets, "p int, words array<string>"), "toxicity-sample")
     sizes = {r.p: r["count"] for r in rows.groupBy("p").count().collect()}
     toxic = docs.select("doc_id").join(known.where("toxic = 1"), "doc_id", "left_semi").count()
-    names = features(rows, sizes[1], sizes[0], least, z, most) if len(sizes) == 2 else []
+    names = features(rows, sizes[1], sizes[0], least, z) if len(sizes) == 2 else []
     at = {w: k for k, w in enumerate(names)}
 
     def positions(batches):
@@ -109,7 +110,8 @@ def _word_sets(batches):
 
 
 def score(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
-    """docs (doc_id, text) with score (0 to 1) and predicted. Null and empty texts get the bias alone."""
+    """docs (doc_id, text) with score (0 to 1) and predicted, one row for each. Null and empty texts get the bias alone; other columns,
+    a score among them, are not read. An empty table gives no rows."""
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 

@@ -221,6 +221,29 @@ def test_toxicity_held_out(spark):
     assert sum(got[i].predicted == (i % 6 == 0) for i in held) / len(held) > 0.97
     assert got[900].predicted == 0 and 0 < got[901].score < 0.5
     assert score(spark, d, fit(d, lab.limit(0))).count() == len(rows)
+    clash = d.withColumns({x: F.lit("clash") for x in ("score", "predicted", "toxic", "p", "words", "w")})
+    model = fit(clash, lab.withColumn("text", F.lit("clash")))
+    assert model == fit(d, lab) and {(r.doc_id, r.score) for r in score(spark, clash.union(clash), model).collect()} == {(r.doc_id, r.score) for r in score(spark, d, model).collect()}
+    assert score(spark, d.limit(0), fit(d.limit(0), lab)).count() == 0
+
+
+def test_toxicity_risk_equals_plain_gradient():
+    """One step of the non-negative risk, its gradient taken numerically."""
+    from glyphstream.llm.toxicity import train_pu
+
+    pos, unl, prior = [[0], [0, 1], [0]], [[1], [], [0, 1], [1], []], 0.3
+
+    def risk(w):
+        out = lambda xs: np.array([w[2] + sum(w[i] for i in x) for x in xs])
+        sp, su = out(pos), out(unl)
+        negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
+        return prior * np.logaddexp(0, -sp).mean() + negative if negative >= 0 else -negative
+
+    w = np.array([0, 0, math.log(prior / (1 - prior))])
+    slope = np.array([(risk(w + h) - risk(w - h)) / 2e-6 for h in 1e-6 * np.eye(3)])
+    weights, bias = train_pu(pos, unl, ["a", "b"], prior, steps=1, rate=0.1)  # the first step of Adam goes by the slope's sign
+    got = np.array([weights["a"], weights["b"], bias]) - w
+    assert np.allclose(got, -0.1 * np.sign(slope), atol=1e-4)
 
 
 def test_decontamination_equals_brute_force(spark):
