@@ -9,11 +9,12 @@ The solver completes bins around the largest remaining length. Largest-first gre
 the second to fourth filling in one bin better ones (at most `nodes` fillings). If they stay above the lower bound, a depth-first
 search branches over all undominated fillings of the largest length and over how often each is used; branches whose
 waste shows that they can't beat the incumbent are cut. It ends at the lower bound, with the tree exhausted (the incumbent is
-then optimal), or after `nodes` fillings, where a bin with many lengths to choose from counts as more.
+then optimal), or after `nodes` fillings, where a bin with many lengths to choose from counts as more; nodes=None searches to the end.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -43,7 +44,7 @@ def lower_bound(counts: dict[int, int], cap: int) -> int:
 
 
 class _Solver:
-    def __init__(self, counts: dict[int, int], cap: int, nodes: int):
+    def __init__(self, counts: dict[int, int], cap: int, nodes: float):
         self.cap, self.nodes, self.bound = cap, nodes, lower_bound(counts, cap)
         self.total = sum(s * n for s, n in counts.items())
         self.counts, self.budget = counts, nodes
@@ -240,14 +241,16 @@ def undominated(left: dict[int, int], room: int, most, least: int = 0):
             yield waste, None if worse else fill
 
 
-def pack(counts: dict[int, int], cap: int, nodes: int = 200_000) -> list[Pattern]:
-    """Patterns that hold exactly the given counts of lengths (1 to cap), in as few bins as the search finds."""
+def pack(counts: dict[int, int], cap: int, nodes: int | None = 200_000) -> list[Pattern]:
+    """Patterns that hold exactly the given counts of lengths (1 to cap), in as few bins as the search finds; with nodes=None it goes on
+    until that is proven the fewest, however long that takes.
+    """
     counts = {int(s): int(n) for s, n in counts.items() if n > 0}
     if not counts:
         return []
     if min(counts) < 1 or max(counts) > cap:
         raise ValueError("lengths must be 1 to the capacity")
-    return _Solver(counts, cap, nodes).solve()
+    return _Solver(counts, cap, math.inf if nodes is None else nodes).solve()
 
 
 def plan_rows(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
@@ -355,7 +358,7 @@ def tokenized_pieces(docs: DataFrame, path: str, cap: int, end_id: int) -> DataF
     return docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("raw")).mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint")
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, path: str, cap: int = 2048, end_id: int = 0, nodes: int = 200_000) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, path: str, cap: int = 2048, end_id: int = 0, nodes: int | None = 200_000) -> DataFrame:
     """Pieces of all documents with sequence_id and offset. Null and empty texts are the end id alone; repeated rows are packed each.
 
     An empty table gives no rows. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.

@@ -197,10 +197,10 @@ def apart(spans: Column, base: Column) -> Column:
     return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(_let(F.array_sort(F.concat(spans, base)), clear))
 
 
-def scan(docs: DataFrame, rate: float = 0.2) -> DataFrame:
-    """docs with a column found: base spans and the spans of tokens that pass for noise, by start, then kind.
+def scan(docs: DataFrame, rate: float = 0.2, into: str = "found") -> DataFrame:
+    """docs with a column `into`: base spans and the spans of tokens that pass for noise, by start, then kind.
 
-    Null and empty texts have no spans. A column named found is replaced, other columns stay. Tokens that touch a base span add
+    Null and empty texts have no spans. A column of that name is replaced, other columns stay. Tokens that touch a base span add
     nothing. The cuts come from the distinct candidate tokens of all of docs; a table without candidates has none to judge.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -211,7 +211,7 @@ def scan(docs: DataFrame, rate: float = 0.2) -> DataFrame:
     def noise(found: Column) -> Column:
         return F.filter(apart(matches(text, TOKEN, 3), found), lambda x: p_value(x["v"]) > cut(x["v"]))
 
-    return docs.withColumn("found", _let(base_spans(text), lambda found: F.array_sort(F.concat(found, noise(found)))))
+    return docs.withColumn(into, _let(base_spans(text), lambda found: F.array_sort(F.concat(found, noise(found)))))
 
 
 def spelled(spans: Column) -> Column:

@@ -581,7 +581,7 @@ def test_packing_search_backtracks():
     random.seed(13)
     for _ in range(150):
         sizes = sorted(random.choices(range(random.choice((3, 15, 20)), random.choice((35, 50, 70))), k=random.randint(1, 11)), reverse=True)
-        assert sum(t for _, t in pack(count(sizes), 100)) == fewest(sizes, 100)
+        assert sum(t for _, t in pack(count(sizes), 100)) == fewest(sizes, 100) == sum(t for _, t in pack(count(sizes), 100, nodes=None))
     for seed in range(6):  # triples that fill 20 sequences exactly
         random.seed(seed)
         sizes = []
