@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, SimHash near-dedup, benchmark decontamination, secret redaction, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet into the shared folder and reads again
-as the next stage's docs. All stages but the last return the columns of documents.
+as the next stage's docs. All stages but the last return the columns of documents; columns that the stages add on the way
+have names with two leading underscores, so that a score, margin or found of one's own is kept.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; lang stays as given."""
+    """Documents whose language is told; lang and all other columns stay as given."""
     dicts = training(docs, crc_mod(F.col("doc_id"), 3) == 1)
-    return identify(spark, docs, dicts).where(~F.col("rejected")).select(docs.columns)
+    return identify(spark, docs, dicts, into="__language").where(~F.col("__language.rejected")).drop("__language")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +47,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets that the scan finds masked in text; n_chars follows the text."""
-    found = scan(docs)
-    text = redact(F.col("text"), F.col("found"))
-    masked = found.withColumn("text", F.when(F.size("found") > 0, text).otherwise(F.col("text")))
-    return masked.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """All documents, with the secrets that the scan finds masked in text; n_chars, where there is one, follows the text."""
+    found = scan(docs, into="__found")
+    hit = F.size("__found") > 0
+    masked = found.withColumn("text", F.when(hit, redact(F.col("text"), F.col("__found"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return masked.select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
