@@ -25,7 +25,7 @@ def fixture():
     rows += [(rows[5][0], rows[5][1], "yy")] * 3 + [(7, text("xx", 300), "xx")]  # repeated rows, and an id of two texts
     rows += [(None, text("xx", 300), "xx"), (None, text("yy", 300), "yy"), (None, rows[2][1].upper(), None)]  # rows without an id
     rows += [(200 + i, f"{text('xx', 90)} {items[i % 2].upper()} {text('xx', 90)}", "xx") for i in range(4)] + [(None, f"{text('yy', 60)} {items[1]}", "yy")]
-    rows += [(300, f'{text("yy", 80)} password = "abc12345" {text("yy", 80)} AKIA{"Q" * 20}', "yy"), (301, "token: qwerty7", None)]
+    rows += [(300, f'{text("yy", 80)} password = "abc12345" {text("yy", 80)} AKIA{"Q" * 20}', "yy"), (301, "token: qwerty7", None), (302, f"token: qwerty7 {text('xx', 90)}", None)]  # 301 is of no language
     rows += [(400, None, "xx"), (401, "", None), (402, "12 34 ...", "yy"), (403, text("yy", 4000), None)]
     return rows, items
 
@@ -106,6 +106,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     kept = brute(rows, items)
+    assert 301 not in {i for i, _ in kept}
     assert len(kept) < len(rows) - 10 and sum("[SECRET]" in t for _, t in kept) == 2 and sum(i is None for i, _ in kept) == 2
     coder, want, counts = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), [], {}
     for i, t in kept:
@@ -123,6 +124,24 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert len(seqs) <= lower_bound(counts, 2048) + 1
 
 
+def test_stages_keep_columns_of_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, items = fixture()
+    names = ["score", "margin", "found", "rejected", "lang_pred", "fp", "h", "id", "hash"]
+    held = spark.createDataFrame([(i, t, k, *(f"{n} {j}" for n in names)) for j, (i, t, k) in enumerate(rows)], "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = held
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == held.columns, name
+    got = now.collect()
+    assert len(got) == len(brute(rows, items))
+    for r in got:
+        (j,) = {r[n].split()[1] for n in names}  # all from one row
+        assert r.doc_id == rows[int(j)][0] and [r[n] for n in names] == [f"{n} {j}" for n in names]
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     import corpus_pipeline
 
