@@ -25,13 +25,13 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
         FROM f""",
     "op10_vantage_point_search": """
-        WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WITH v AS (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
                      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
                      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-             s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id,
                           list_inner_product(q.e, c.e) / (sqrt(list_inner_product(c.e, c.e)) * sqrt(list_inner_product(q.e, q.e))) AS score
-                   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+                   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.n <> c.n AND len(q.e) = len(c.e)),
+             r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
 }
