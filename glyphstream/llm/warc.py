@@ -238,9 +238,9 @@ def reassemble(found: DataFrame) -> DataFrame:
     Segments must be numbered 1 to their count without a gap or a repeat, and add up to the total length that the last one
     states; anything else raises. The shuffle holds segmented records only.
     """
-    whole = found.where("segment is null").drop("segment", "origin_id", "total_length")
+    whole = found.where("segment is null").withColumns({"segment": F.lit(None).cast("int"), "origin_id": F.lit(None).cast("string"), "total_length": F.lit(None).cast("bigint")})
     parts = found.where("segment is not null").withColumn("origin_id", F.coalesce("origin_id", "record_id"))
-    heads = [c for c in whole.columns if c not in ("record_id", "body")]
+    heads = [c for c in whole.columns if c not in ("record_id", "body", "segment", "origin_id", "total_length")]
     grouped = parts.groupBy("origin_id").agg(
         *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in heads),
         F.max("total_length").alias("total"),
@@ -252,36 +252,51 @@ def reassemble(found: DataFrame) -> DataFrame:
     joined = grouped.withColumn("body", body)
     ok = numbered & F.coalesce(F.octet_length("body") == F.col("total"), F.lit(False))
     bad = F.raise_error(F.concat(F.lit("segments of "), F.col("origin_id"), F.lit(" are not whole"))).cast("binary")
-    return whole.unionByName(joined.select(F.col("origin_id").alias("record_id"), *heads, F.when(ok, F.col("body")).otherwise(bad).alias("body")))
+    return whole.unionByName(joined.select(F.col("origin_id").alias("record_id"), *heads, F.when(ok, F.col("body")).otherwise(bad).alias("body")), allowMissingColumns=True)
 
 
-def payloads(found: DataFrame) -> DataFrame:
-    """Whole records with the payload's length and SHA-256, its transfer framing decoded; a response is held to its own digest.
+def decode(found: DataFrame) -> DataFrame:
+    """Records with payload_bytes and their own digest added, bodies dropped: transfer framing decoded, a response held to its stated digest.
 
-    A revisit takes both from the response that it refers to, and is held to its digest; where that record is not among those found,
-    its length is null and the digest the one stated.
+    Segments pass as they are, body and all, for only whole records can be decoded.
     """
-    fields = "record_id string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, page_id bigint, refers_page bigint"
+    fields = "record_id string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, segment int, origin_id string, total_length bigint, page_id bigint, refers_page bigint, body binary"
 
-    def decode(batches):
+    def decoded(batches):
         import pyarrow as pa
 
         for b in batches:
-            out = []
-            for rid, kind, refers, digest, page, refers_page, body in zip(*(b.column(k).to_pylist() for k in range(7))):
-                stated, length = (digest or "").removeprefix("sha256:"), None
-                if kind == "response":
+            lengths, digests, bodies = [], [], []
+            for rid, kind, digest, segment, body in zip(*(b.column(k).to_pylist() for k in ("record_id", "record_type", "payload_digest", "segment", "body"))):
+                digest, length = (digest or "").removeprefix("sha256:"), None
+                if kind == "response" and segment is None:
                     payload = http_payload(body)
                     length, got = len(payload), hashlib.sha256(payload).hexdigest()
-                    if stated and stated != got:
+                    if digest and digest != got:
                         raise WarcError(f"{rid}: payload digest differs")
-                    stated = got
-                out.append((rid, kind, refers, length, stated, page, refers_page))
-            cols = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k in (3, 5, 6) else pa.string()) for k, c in enumerate(cols)], ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "page_id", "refers_page"])
+                    digest = got
+                lengths.append(length)
+                digests.append(digest)
+                bodies.append(None if segment is None else body)
+            made = {"payload_bytes": pa.array(lengths, pa.int64()), "payload_digest": pa.array(digests, pa.string()), "body": pa.array(bodies, pa.binary())}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in names], names)
+
+    names = [x.split()[0] for x in fields.split(", ")]
+    return found.select("record_id", "record_type", "refers_to", "payload_digest", "segment", "origin_id", "total_length", "page_id", "refers_page", "body").mapInArrow(decoded, fields)
+
 
-    rows = materialize(found.sparkSession, found.select("record_id", "record_type", "refers_to", "payload_digest", "page_id", "refers_page", "body").mapInArrow(decode, fields), "records")
-    later, names = F.col("record_type") == "revisit", rows.columns
+def payloads(found: DataFrame) -> DataFrame:
+    """Whole records with the payload's length and SHA-256, from records of which some may be segments.
+
+    Archives are parsed once: records that are whole leave their digest, and only segments keep their bodies until they are joined.
+    A revisit takes length and digest from the response that it refers to, and is held to its digest; where that record is not among
+    those found, its length is null and the digest the one stated.
+    """
+    spark, names = found.sparkSession, ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "page_id", "refers_page"]
+    first = materialize(spark, decode(found), "records")
+    joined = materialize(spark, decode(reassemble(first.where("segment is not null"))).select(names), "joined-records")
+    rows = first.where("segment is null").select(names).unionByName(joined)
+    later = F.col("record_type") == "revisit"
     origins = rows.where(~later).join(rows.where(later).select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi")
     met = rows.where(later).join(origins.select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d")), "refers_to", "left")
     differs = F.raise_error(F.concat(F.col("record_id"), F.lit(": payload digest differs"))).cast("string")
@@ -297,7 +312,7 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """
     path = fresh_path(spark, "warc")
     write_archives(spark, with_revisits(pages), path)
-    got = payloads(reassemble(read_records(spark.read.schema("archive binary").parquet(path))))
+    got = payloads(read_records(spark.read.schema("archive binary").parquet(path)))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_page").alias("refers_to"))
 
 
