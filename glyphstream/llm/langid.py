@@ -33,6 +33,11 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def draw(key: str, salt: str) -> Column:
+    """A number from 0 to 1 by a hash of key and text: rows that share an id, or have none, are drawn each for itself."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), "text", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+
+
 def sample_by_class(rows: DataFrame, key: str, cls: str, per_class: int) -> tuple[DataFrame, list]:
     """The classes by falling number of rows, and about per_class distinct rows of each, chosen by a hash of key and text.
 
@@ -43,8 +48,7 @@ def sample_by_class(rows: DataFrame, key: str, cls: str, per_class: int) -> tupl
     if not counts:
         return rows.limit(0), []
     shares = rows.sparkSession.createDataFrame([(r[0], min(1.0, per_class / r[1])) for r in counts], T.StructType([rows.schema[cls], T.StructField("__share", T.DoubleType())]))
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), "text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.join(F.broadcast(shares), cls).where(draw < F.col("__share")).select(rows.columns)
+    drawn = rows.join(F.broadcast(shares), cls).where(draw(key, "sample") < F.col("__share")).select(rows.columns)
     return drawn.dropDuplicates([key, "text", cls]), [r[0] for r in counts]
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstream.llm.common import crc_mod, materialize, read, small_batches
-from glyphstream.llm.langid import sample_by_class
+from glyphstream.llm.langid import draw
 
 WORD = re.compile(r"\w+")
 
@@ -82,12 +82,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least: int =
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = docs.select("doc_id").join(known, "doc_id", "left_semi").count()
+    toxic = docs.select("doc_id").join(known.where("toxic = 1"), "doc_id", "left_semi").count()
     texts = docs.where("text is not null").select("doc_id", "text")
-    positive = texts.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    kind = positive.select("doc_id", "text", F.lit(1).alias("p")).union(texts.select("doc_id", "text", F.lit(0).alias("p")))
-    rows = materialize(spark, sample_by_class(kind, "doc_id", "p", per_class)[0].mapInArrow(_word_sets, "p int, words array<string>"), "toxicity-sample")
+    # drawn before the join, so that texts move only for the sample
+    part = lambda salt, size: texts.where(draw("doc_id", salt) < per_class / max(size, per_class))
+    positive = part("positive", toxic).join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    both = positive.withColumn("p", F.lit(1)).union(part("unlabelled", texts.select("doc_id").count()).withColumn("p", F.lit(0)))
+    rows = materialize(spark, both.dropDuplicates(["doc_id", "text", "p"]).select("p", "text").mapInArrow(_word_sets, "p int, words array<string>"), "toxicity-sample")
     sizes = {r.p: r["count"] for r in rows.groupBy("p").count().collect()}
-    toxic = docs.select("doc_id").join(known.where("toxic = 1"), "doc_id", "left_semi").count()
     names = features(rows, sizes[1], sizes[0], least, z) if len(sizes) == 2 else []
     at = {w: k for k, w in enumerate(names)}
 
