@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -79,3 +79,44 @@ def packed_pieces(text: Column, limit: int = 2000) -> Column:
         return F.struct(F.when(close, F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"]).alias("done"), F.when(close, w).otherwise(joined).alias("cur"))
 
     return F.aggregate(F.split(text, " "), start, step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"])))
+
+
+def strip(text: Column) -> Column:
+    """Unicode white space off both ends, as Python's strip does."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def pure_script(text: Column, script: str) -> Column:
+    """Characters of one script alone, behind one space at most; script is a character class."""
+    return text.rlike(f"^ ?{script}+$")
+
+
+def valid_utf8(raw: Column) -> Column:
+    return F.is_valid_utf8(raw)
+
+
+def lossy_utf8(raw: Column) -> Column:
+    """Bytes as text, a replacement sign for what is broken."""
+    return F.make_valid_utf8(raw)
+
+
+def syllable_starts(text: Column, consonants: str = r"[\x{1000}-\x{1021}]", stackers: str = r"[\x{1039}]", silencers: str = r"[\x{1039}\x{103A}]") -> Column:
+    """Number of consonants that start a syllable: none behind a stacker, none before a silencer. All three are character classes."""
+    return F.regexp_count(text, F.lit(f"(?<!{stackers}){consonants}(?!{silencers})"))
+
+
+def wrapped(ids: Column, begin: int | None, end: int) -> Column:
+    """ids between a begin mark, where there is one, and an end mark."""
+    return F.concat(*([F.array(F.lit(begin))] if begin is not None else []), ids, F.array(F.lit(end)))
+
+
+def fixed_windows(stream: DataFrame, pos: str, length: int) -> DataFrame:
+    """stream with window: windows of length + 1 rows by position that overlap by one; an incomplete last one is left out.
+
+    The row that two windows share is repeated, so windows need no join; the stream's length is one number.
+    """
+    last = stream.agg(F.max(pos).alias("__last"))
+    own = F.floor(F.col(pos) / length).cast("bigint")
+    at = F.when((F.col(pos) % length == 0) & (F.col(pos) > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    rows = stream.withColumn("window", F.explode(at))
+    return rows.join(F.broadcast(last), (F.col("window") + 1) * length <= F.col("__last")).drop("__last")

@@ -75,35 +75,6 @@ def mark_density(spark, d):
     return docs(spark, d).select("lang", tr().alias("t")).groupBy("lang").agg(ratio(F.sum(F.regexp_count("t", F.lit(r"\p{M}"))), F.sum(F.length("t"))).alias("mark_density"))
 
 
-@query(f"SELECT lang, count(*) AS docs, sum(CASE WHEN {A_TR} <> {B_TR} THEN 1 ELSE 0 END)::BIGINT AS changed FROM documents GROUP BY lang")
-def pretok_diff_sentences(spark, d):
-    """Documents whose pre-token counts differ between the patterns; the sequences differ wherever the counts do."""
-    return docs(spark, d).select("lang", tr().alias("t")).groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(X.pretoken_count(F.col("t"), P.PAT_A) != X.pretoken_count(F.col("t"), P.PAT_B)).alias("changed"))
-
-
-@query()
-def change_matrix(spark, d):
-    """Per language: pairwise differing sequences of the original, repaired and one-script patterns, and documents with marks."""
-    deva = P.repair_devanagari(P.PAT_A)
-    c = docs(spark, d).select("lang", tr().alias("t")).select("lang", X.pretokens(F.col("t"), P.PAT_A).alias("o"), X.pretokens(F.col("t"), P.PAT_B).alias("g"), X.pretokens(F.col("t"), deva).alias("v"), F.col("t").rlike(r"\p{M}").alias("m"))
-    return c.groupBy("lang").agg(F.count_if(F.col("o") != F.col("g")).alias("o_g"), F.count_if(F.col("o") != F.col("v")).alias("o_d"), F.count_if(F.col("g") != F.col("v")).alias("g_d"), F.count_if("m").alias("marked"))
-
-
-@query()
-def guarantee_violations(spark, d):
-    """Documents without a Devanagari mark that the one-script repair changes; must be none."""
-    marks = "[" + "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in P.DEVANAGARI_MARKS) + "]"
-    c = docs(spark, d).select(F.explode(F.array("text", tr())).alias("t")).where(~F.col("t").rlike(marks))
-    return c.agg(F.count("*").alias("checked"), F.count_if(X.pretokens(F.col("t"), P.PAT_A) != X.pretokens(F.col("t"), P.repair_devanagari(P.PAT_A))).alias("violations"))
-
-
-@query(f"SELECT lang, CAST(sum({A_RAW}) AS BIGINT) AS pieces, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
-def staged_split(spark, d):
-    """Pieces of a two-stage pipeline whose second stage changes nothing, and the code points they cover, which must be all."""
-    c = docs(spark, d).select("lang", X.staged(F.col("text"), [P.PAT_A, r"[\s\S]+"]).alias("p"))
-    return c.groupBy("lang").agg(F.sum(F.size("p")).alias("pieces"), F.sum(F.length(F.array_join("p", ""))).alias("chars"))
-
-
 WORDS = "SELECT doc_id, lang, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS w FROM documents"
 
 
@@ -117,13 +88,6 @@ def type_counts(spark, d):
     return word_rows(spark, d).groupBy("w").agg(F.count("*").alias("n"))
 
 
-@query()
-def pretok_type_counts(spark, d):
-    """Script-bearing pre-token types of the derived text."""
-    t = docs(spark, d).select(F.explode(X.pretokens(tr(), P.PAT_B)).alias("ptok")).where(F.col("ptok").rlike(P.DEVANAGARI))
-    return t.groupBy("ptok").agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH t AS ({WORDS}), c AS (SELECT w, count(*) AS n FROM t WHERE w <> '' GROUP BY w),
 r AS (SELECT n, sum(n) OVER (ORDER BY n DESC, w) / (SELECT sum(n) FROM c) AS share FROM c)
 SELECT count(*) AS types, CAST(sum(n) AS BIGINT) AS tokens, (count(*) FILTER (WHERE share < 0.99) + 1)::BIGINT AS types_99, (count(*) FILTER (WHERE share < 0.999) + 1)::BIGINT AS types_999 FROM r""")
@@ -258,18 +222,6 @@ def alias_groups(spark, d):
     return c.groupBy("source").agg(sig.alias("sig")).groupBy("sig").agg(F.min("source").alias("representative"), F.count("*").alias("members"), F.array_join(F.sort_array(F.collect_list("source")), ",").alias("names"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'no-regex', 'none (no regex pre-tokenizer)'), (2, 'letter-regex', 'letters-only (\\p{L}+)'), (3, 'mark-regex', 'mark-aware'), (4, 'mark-regex', 'mark-aware'), (5, 'other-regex', 'other'), (6, 'letter-regex', 'other')) AS t(id, kind, diagnostic)""")
-def regex_class(spark, d):
-    cases = [[], [P.PAT_A], [P.repair(P.PAT_A)], [r"\w+|[^\w\s]+"], [r"[a-z]+"], [r"\p{Lu}+"]]
-    return spark.createDataFrame([(k, P.pattern_class(c), P.diagnostic_class(c)) for k, c in enumerate(cases, 1)], "id int, kind string, diagnostic string")
-
-
-@query("SELECT lang, CASE WHEN count(*) FILTER (WHERE n_chars > 2000) > 1000 THEN 'added_tokens' WHEN count(*) > 150 THEN 'merges' ELSE 'none' END AS mechanism FROM documents GROUP BY lang")
-def mechanism_class(spark, d):
-    c = docs(spark, d).groupBy("lang").agg(F.count_if(F.col("n_chars") > 2000).alias("added"), F.count("*").alias("new"))
-    return c.select("lang", F.when(F.col("added") > 1000, "added_tokens").when(F.col("new") > 150, "merges").otherwise("none").alias("mechanism"))
-
-
 # ---- pieces, scores, resampling ----------------------------------------------------------------------------------------------------
 
 PIECES_SQL = "q AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents), u AS (SELECT doc_id, lang, unnest(range(0, len(l))) AS piece_id, unnest(l) AS x FROM q), p AS (SELECT doc_id, lang, piece_id, strlen(x) AS bytes FROM u WHERE x <> '')"

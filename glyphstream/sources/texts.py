@@ -1,24 +1,10 @@
-"""Text sources and sinks: line files, JSON strings, token streams."""
+"""Text sources and sinks: JSON strings, token streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.functions.text import nfc
-
-
-def parallel_lines(spark: SparkSession, paths: dict[str, str], split: str) -> DataFrame:
-    """(split, lang, sent_id, text): line i of each language's file is sentence i; NFC on load."""
-    out = None
-    for lang, path in paths.items():
-        rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("sent_id", "text"), F.length("value").alias("n"))
-        # a closing line end starts no further line
-        last = rows.where("text <> ''").agg(F.max("sent_id").alias("m"))
-        got = rows.crossJoin(F.broadcast(last)).where("sent_id <= m").select(F.lit(split).alias("split"), F.lit(lang).alias("lang"), F.col("sent_id").cast("bigint").alias("sent_id"), nfc(F.col("text")).alias("text"))
-        out = got if out is None else out.union(got)
-    return out
-
 
 def json_strings(spark: SparkSession, path: str) -> DataFrame:
     """One JSON string a line, inner newlines kept."""

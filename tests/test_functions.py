@@ -8,9 +8,10 @@ from glyphstream.functions import text as X
 from glyphstream.operators import bpe, prep
 
 
-def test_repair_gives_the_mark_aware_pattern():
+def test_repair_gives_the_mark_aware_pattern(spark):
     assert P.repair(P.PAT_A) == P.PAT_B
-    assert P.pattern_class([P.PAT_A]) == "letter-regex" and P.pattern_class([P.PAT_B]) == "mark-regex" and P.pattern_class([]) == "no-regex"
+    rows = spark.createDataFrame([(P.PAT_A,), (P.PAT_B,), (None,)], "p string").select(P.pattern_class(F.col("p")).alias("k")).collect()
+    assert [r.k for r in rows] == ["letter-regex", "mark-regex", "no-regex"]
 
 
 def test_config_walk():
