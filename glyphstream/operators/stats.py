@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,27 +14,92 @@ def verdict(lo: Column, hi: Column, margin: float = 0.01) -> Column:
     return F.when(hi < 0, "better").when(hi < margin, "non-inferior").when(lo > 0, "worse").otherwise("no detectable difference")
 
 
-def draws(spark: SparkSession, replicates: int, n: int) -> DataFrame:
-    """(b, i, idx): n draws with replacement for each replicate, from md5 so that any engine gives the same."""
-    grid = spark.range(replicates * n).select((F.col("id") / n).cast("bigint").alias("b"), (F.col("id") % n).alias("i"))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", "b", "i").cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return grid.withColumn("idx", h % n)
+#: P(N <= k) of a Poisson variable of mean 1, k = 0, 1, ...; a hash is a 32-bit number, which no more terms could tell apart.
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12))
+STEPS = tuple(math.floor(p * (1 << 32)) for p in POISSON)
+
+
+def _weight(u: Column) -> Column:
+    out = F
+    for k, top in enumerate(STEPS):
+        out = out.when(u < top, k)
+    return out.otherwise(len(STEPS))
 
 
-def bootstrap_ratio(spark: SparkSession, units: DataFrame, top: str, bottom: str, order: str, replicates: int) -> DataFrame:
-    """One row: point estimate of sum(top) / sum(bottom) and its 95 % percentile interval over resampled units.
+def resampled(units: DataFrame, sums: list[str], key: Column, replicates: int, by: list[str] | None = None) -> DataFrame:
+    """(by, b, sums): the sums over each of so many resamples of the units, in one aggregate without a join or a global order.
 
-    Units should be sums by cluster already: the draws grow with units times replicates.
+    In a resample each unit counts a Poisson(1) number of times (the large-table form of drawing with replacement), told by the md5 of key
+    and replicate, so any engine gives the same. key must differ between units. Units should be sums by cluster already, for
+    the work, though not the shuffle, grows with units times replicates: each task hands on one row a replicate and group.
     """
-    n = units.count()
-    numbered = units.withColumn("idx", F.row_number().over(Window.orderBy(order)).cast("bigint") - 1)
-    sums = draws(spark, replicates, n).join(numbered, "idx").groupBy("b").agg((F.sum(top) / F.sum(bottom)).alias("r"))
-    ci = sums.agg(F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"))
-    return units.agg((F.sum(top) / F.sum(bottom)).alias("estimate"), F.count("*").alias("units")).crossJoin(ci)
+    by = by or []
+    held = units.select(*by, key.cast("string").alias("__k"), *(F.col(c) for c in sums))
+    block = held.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
+    hashed = block.withColumn("__h", F.md5(F.concat_ws(":", "__c", "__k").cast("binary")))
+    four = F.array(*(F.struct((F.col("__c") * 4 + q).alias("b"), _weight(F.conv(F.substring("__h", 8 * q + 1, 8), 16, 10).cast("bigint")).alias("w")) for q in range(4)))
+    drawn = hashed.withColumn("__z", F.explode(four)).where((F.col("__z.w") > 0) & (F.col("__z.b") < replicates))
+    return drawn.groupBy(*by, F.col("__z.b").alias("b")).agg(*(F.sum(F.col(c) * F.col("__z.w")).alias(c) for c in sums))
+
+
+def intervals(units: DataFrame, top: str, bottom: str, key: Column, replicates: int, by: list[str] | None = None) -> DataFrame:
+    """(by, estimate, units, lo, hi): sum(top) / sum(bottom) and its 95 % percentile interval over resampled units."""
+    by = by or []
+    point = units.groupBy(*by).agg((F.sum(top) / F.sum(bottom)).cast("double").alias("estimate"), F.count("*").alias("units"))
+    r = resampled(units, [top, bottom], key, replicates, by).where(F.col(bottom) != 0).withColumn("__r", (F.col(top) / F.col(bottom)).cast("double"))
+    ci = r.groupBy(*by).agg(F.percentile("__r", F.lit(0.025)).alias("lo"), F.percentile("__r", F.lit(0.975)).alias("hi"))
+    if not by:
+        return point.crossJoin(ci)  # a row each
+    p, c = point.alias("p"), ci.alias("c")
+    same = [F.col(f"p.{x}").eqNullSafe(F.col(f"c.{x}")) for x in by]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return p.join(c, on).select("p.*", "c.lo", "c.hi")
+
+
+def clusters(pieces: DataFrame, doc: str, piece: str, size: str, closes: int = 1900, truth: DataFrame | None = None) -> DataFrame:
+    """pieces with cluster_id within their document: of a truth table (doc, piece, size, cluster_id) where all its sizes agree with the
+    document's, else by length: a piece shorter than `closes` bytes ends its cluster.
+    """
+    w = Window.partitionBy(doc).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    out = pieces.withColumn("cluster_id", F.coalesce(F.sum((F.col(size) < closes).cast("bigint")).over(w), F.lit(0)))
+    if truth is None:
+        return out
+    t = truth.select(F.col(doc).alias("__d"), F.col(piece).alias("__p"), F.col(size).alias("__s"), F.col("cluster_id").alias("__c"))
+    met = out.join(t, (F.col(doc) == F.col("__d")) & (F.col(piece) == F.col("__p")), "left")
+    whole = F.bool_and(F.coalesce(F.col("__s") == F.col(size), F.lit(False))).over(Window.partitionBy(doc))
+    return met.withColumn("cluster_id", F.when(whole, F.col("__c")).otherwise(F.col("cluster_id"))).drop("__d", "__p", "__s", "__c")
+
+
+def compare(pieces: DataFrame, a: str, b: str, size: str, piece: Column, cluster: list[str], replicates: int = 2000, by: list[str] | None = None) -> DataFrame:
+    """Difference of two arms' scores per byte, (sum a - sum b) / sum size, with the interval over pieces, that over clusters, their
+    widths' ratio and both numbers of units.
+    """
+    by = by or []
+    d = pieces.withColumn("__d", (F.col(a) - F.col(b)).cast("double"))
+    c = d.groupBy(*by, *cluster).agg(F.sum("__d").alias("__d"), F.sum(size).alias(size))
+    one = intervals(d, "__d", size, piece, replicates, by).select(*by, "estimate", F.col("units").alias("pieces"), F.col("lo").alias("piece_lo"), F.col("hi").alias("piece_hi"))
+    two = intervals(c, "__d", size, F.concat_ws("/", *(F.col(x).cast("string") for x in cluster)), replicates, by).select(*(F.col(x).alias(f"__{x}") for x in by), F.col("units").alias("clusters"), "lo", "hi")
+    if by:
+        on = F.lit(True)
+        for x in by:
+            on = on & F.col(x).eqNullSafe(F.col(f"__{x}"))
+        met = one.join(two, on).drop(*(f"__{x}" for x in by))
+    else:
+        met = one.crossJoin(two)
+    return met.withColumn("width_ratio", (F.col("hi") - F.col("lo")) / (F.col("piece_hi") - F.col("piece_lo")))
+
+
+def bootstrap_ratio(units: DataFrame, top: str, bottom: str, order: str, replicates: int) -> DataFrame:
+    """One row: point estimate of sum(top) / sum(bottom) and its 95 % percentile interval over resampled units."""
+    return intervals(units, top, bottom, F.col(order), replicates)
 
 
 def bootstrap_exact(df: DataFrame, key: str, top: str, bottom: str, order: str, replicates: int = 2000, seed: int = 0, chunk: int = 64) -> DataFrame:
-    """The same by group with numpy's PCG64 draws, replicates in chunks so that memory stays bounded."""
+    """The same by group with numpy's PCG64 draws, for parity with published protocols. A group's units are one task's, and a chunk of
+    replicates draws chunk times their number; so units should be clusters, some millions a group at most. Beyond that, and for one group that holds
+    a large share of all, use intervals."""
 
     def one(pdf):
         import pandas as pd
@@ -48,3 +115,18 @@ def bootstrap_exact(df: DataFrame, key: str, top: str, bottom: str, order: str,
 
     kind = df.schema[key].dataType.simpleString()
     return df.groupBy(key).applyInPandas(one, f"{key} {kind}, estimate double, lo double, hi double, units bigint")
+
+
+def mid_ranks(df: DataFrame, col: str, name: str) -> DataFrame:
+    """df with the mean rank of col among all rows, equal values sharing theirs: counts of values are prefix-summed, and joined back."""
+    counts = df.groupBy(F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.select("__v", (before + (F.col("__n") + 1) / 2).alias(name))
+    return df.join(ranks, F.col(col) == F.col("__v")).drop("__v")
+
+
+def units_inside(spans: DataFrame, boundaries: DataFrame, key: str) -> DataFrame:
+    """spans (key, a, b) with units: one more than the boundaries (key, off) strictly inside."""
+    s, t = spans.withColumn("__s", F.struct("a", "b")).alias("s"), boundaries.alias("t")
+    met = s.join(t, (F.col(f"s.{key}") == F.col(f"t.{key}")) & (F.col("s.a") < F.col("t.off")) & (F.col("t.off") < F.col("s.b")), "left")
+    return met.groupBy(F.col(f"s.{key}").alias(key), F.col("s.a").alias("a"), F.col("s.b").alias("b")).agg((F.count("t.off") + 1).alias("units"))

@@ -93,6 +93,12 @@ def integrity(cut: DataFrame, *by: str, ids: str = "ids") -> DataFrame:
     return cut.groupBy(*by).agg(n_tokens.alias("tokens"), rate("marks", F.greatest(n_tokens, F.lit(1))).alias("mark_initial"), rate("breaks", n_cuts).alias("break_rate"), rate("intra", n_cuts).alias("intra_cp"))
 
 
+def overlaps(spans: Column) -> Column:
+    """Number of spans (start, end), in token order, that start before the end of the one before or where it starts: cuts inside a code point."""
+    pairs = F.zip_with(F.slice(spans, 2, F.size(spans)), F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0))), lambda x, p: (x["start"] < p["end"]) | (x["start"] == p["start"]))
+    return F.size(F.filter(pairs, lambda x: x))
+
+
 # ---- added tokens ------------------------------------------------------------------------------------------------------------------
 
 

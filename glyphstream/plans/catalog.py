@@ -213,15 +213,6 @@ def premium_decomposition(spark, d):
     return s.select("lang", ratio(F.col("a"), F.col("te")).alias("premium_a"), ratio(F.col("b"), F.col("te")).alias("premium_b"), ratio(F.col("a"), F.col("b")).alias("regex_factor"), ratio(F.col("a"), F.col("bytes")).alias("tokens_per_byte_a"), ratio(F.col("bytes"), F.col("b")).alias("bytes_per_token_b"), F.col("chars").cast("bigint").alias("chars"))
 
 
-@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT source, string_agg(lang || ':' || CAST(n AS VARCHAR), ',' ORDER BY lang) AS sig FROM c GROUP BY source)
-SELECT sig, min(source) AS representative, count(*) AS members, string_agg(source, ',' ORDER BY source) AS names FROM s GROUP BY sig""")
-def alias_groups(spark, d):
-    """Sources with equal counts in every language: the first names the group."""
-    c = docs(spark, d).groupBy("source", "lang").agg(F.count("*").alias("n"))
-    sig = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lang", "n"))), lambda x: F.concat_ws(":", x["lang"], x["n"].cast("string"))), ",")
-    return c.groupBy("source").agg(sig.alias("sig")).groupBy("sig").agg(F.min("source").alias("representative"), F.count("*").alias("members"), F.array_join(F.sort_array(F.collect_list("source")), ",").alias("names"))
-
-
 # ---- pieces, scores, resampling ----------------------------------------------------------------------------------------------------
 
 PIECES_SQL = "q AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents), u AS (SELECT doc_id, lang, unnest(range(0, len(l))) AS piece_id, unnest(l) AS x FROM q), p AS (SELECT doc_id, lang, piece_id, strlen(x) AS bytes FROM u WHERE x <> '')"
@@ -248,34 +239,33 @@ def bpb_by_arm(spark, d):
     return scores(spark, d).groupBy("lang").agg(*(F.round((F.sum(r) / F.sum("bytes")).cast("double"), 6).alias(r) for r in ("r0", "r1", "r2")))
 
 
-@query("WITH " + PIECES_SQL + ", w AS (SELECT doc_id, piece_id, bytes, coalesce(sum(CASE WHEN bytes < 300 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY piece_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM p) SELECT doc_id, CAST(c AS BIGINT) AS cluster_id, count(*) AS pieces, CAST(sum(bytes) AS BIGINT) AS bytes FROM w GROUP BY ALL")
-def cluster_ids(spark, d):
-    """A short piece closes its cluster; runs within a document."""
-    w = Window.partitionBy("doc_id").orderBy("piece_id").rowsBetween(Window.unboundedPreceding, -1)
-    c = pieces(spark, d).withColumn("cluster_id", F.coalesce(F.sum((F.col("bytes") < 300).cast("bigint")).over(w), F.lit(0)))
-    return c.groupBy("doc_id", "cluster_id").agg(F.count("*").alias("pieces"), F.sum("bytes").alias("bytes"))
+WEIGHT_SQL = "CASE " + " ".join(f"WHEN u < {top} THEN {k}" for k, top in enumerate(stats.STEPS)) + f" ELSE {len(stats.STEPS)} END"
 
 
-def _boot_sql(units: str, b: int) -> str:
-    return f"""WITH {SCORES_SQL}, c AS ({units}), n AS (SELECT count(*) AS n FROM c), k AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM c),
-g AS (SELECT b, i, ('0x' || substr(md5(concat_ws(':', b, i)), 1, 8))::BIGINT % n AS idx FROM range({b}) x(b), n, range(n.n) y(i)),
-r AS (SELECT b, sum(d) / sum(bytes) AS r FROM g JOIN k USING (idx) GROUP BY b)
-SELECT round(CAST((SELECT sum(d) / sum(bytes) FROM c) AS DOUBLE), 6) AS estimate, (SELECT n FROM n) AS units, round(quantile_cont(CAST(r AS DOUBLE), 0.025), 6) AS lo, round(quantile_cont(CAST(r AS DOUBLE), 0.975), 6) AS hi FROM r"""
+def boot_sql(units: str, key: str, top: str, bottom: str, replicates: int, by: str = "") -> str:
+    """CTE bodies boot (by, estimate, units, lo, hi) of a table of units, in the order that they need."""
+    g, g2 = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    on = f"p.{by} IS NOT DISTINCT FROM c.{by}" if by else "true"
+    return f"""{units}_h AS (SELECT {g}{top}, {bottom}, blk, md5(concat_ws(':', blk, CAST({key} AS VARCHAR))) AS h FROM {units}, range({(replicates - 1) // 4 + 1}) r(blk)),
+{units}_u AS (SELECT {g}{top}, {bottom}, blk * 4 + q AS b, ('0x' || substr(h, 8 * q + 1, 8))::BIGINT AS u FROM {units}_h, range(4) r(q)),
+{units}_w AS (SELECT *, {WEIGHT_SQL} AS w FROM {units}_u WHERE b < {replicates}),
+{units}_r AS (SELECT {g}b, CAST(sum({top} * w) / sum({bottom} * w) AS DOUBLE) AS r FROM {units}_w WHERE w > 0 GROUP BY {g}b),
+{units}_boot AS (SELECT p.*, lo, hi FROM (SELECT {g}CAST(sum({top}) / sum({bottom}) AS DOUBLE) AS estimate, count(*) AS units FROM {units} {g2}) p JOIN (SELECT {g}quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM {units}_r {g2}) c ON {on})"""
 
 
-@query(_boot_sql("SELECT doc_id, sum(r2 - r0) AS d, sum(bytes) AS bytes FROM s GROUP BY doc_id", 50))
+@query("WITH " + SCORES_SQL + ", c AS (SELECT doc_id, CAST(sum(r2 - r0) AS DOUBLE) AS d, sum(bytes) AS bytes FROM s GROUP BY doc_id), " + boot_sql("c", "doc_id", "d", "bytes", 2000) + " SELECT round(estimate, 6) AS estimate, units, round(lo, 6) AS lo, round(hi, 6) AS hi FROM c_boot")
 def bootstrap_clustered(spark, d):
-    """Difference of two arms' bits per byte, resampled by document: pieces are summed to documents before anything is drawn."""
-    c = scores(spark, d).groupBy("doc_id").agg(F.sum(F.col("r2") - F.col("r0")).alias("d"), F.sum("bytes").alias("bytes"))
-    r = stats.bootstrap_ratio(spark, c, "d", "bytes", "doc_id", 50)
-    return r.select(F.round(F.col("estimate").cast("double"), 6).alias("estimate"), "units", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    """Difference of two arms' bits per byte, resampled 2,000 times by document: pieces are summed to documents before anything is drawn."""
+    c = scores(spark, d).groupBy("doc_id").agg(F.sum(F.col("r2") - F.col("r0")).cast("double").alias("d"), F.sum("bytes").alias("bytes"))
+    r = stats.bootstrap_ratio(c, "d", "bytes", "doc_id", 2000)
+    return r.select(F.round("estimate", 6).alias("estimate"), "units", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @query()
 def bootstrap_exact(spark, d):
     """The same interval by language with numpy's generator, as published protocols draw it."""
     c = scores(spark, d).groupBy("lang", "doc_id").agg(F.sum(F.col("r2") - F.col("r0")).cast("double").alias("d"), F.sum("bytes").alias("bytes"))
-    return stats.bootstrap_exact(c, "lang", "d", "bytes", "doc_id", 200)
+    return stats.bootstrap_exact(c, "lang", "d", "bytes", "doc_id", 2000)
 
 
 @query("""SELECT id, CASE WHEN hi < 0 THEN 'better' WHEN hi < 0.01 THEN 'non-inferior' WHEN lo > 0 THEN 'worse' ELSE 'no detectable difference' END AS verdict
@@ -285,13 +275,6 @@ def verdicts(spark, d):
     return spark.createDataFrame(rows, "id int, lo double, hi double").select("id", stats.verdict(F.col("lo"), F.col("hi")).alias("verdict"))
 
 
-@query("WITH " + SCORES_SQL + " SELECT lang, piece_id, round(CAST(avg((r0 + r1) / 2) AS DOUBLE), 6) AS nll FROM s GROUP BY ALL")
-def seed_average(spark, d):
-    """Element-wise mean over two runs, by language and position."""
-    long = scores(spark, d).select("lang", "piece_id", F.explode(F.array("r0", "r1")).alias("nll"))
-    return long.groupBy("lang", "piece_id").agg(F.round(F.avg("nll").cast("double"), 6).alias("nll"))
-
-
 @query("WITH " + SCORES_SQL + """, m AS (SELECT lang, CAST(bytes AS DOUBLE) AS bytes, CAST(r0 AS DOUBLE) / 100 AS a, CASE WHEN r0 = r1 THEN NULL ELSE CAST(r1 AS DOUBLE) / 100 END AS b FROM s),
 t AS (SELECT lang, bytes, a, b, CASE WHEN b IS NULL THEN a ELSE least(a, b) - ln(1 + exp(-abs(a - b))) END AS joint FROM m)
 SELECT lang, round(sum(joint) / ln(2) / sum(bytes), 6) AS bpb, round(avg(CASE WHEN b < a THEN 1.0 ELSE 0.0 END), 6) AS alt_wins FROM t GROUP BY lang""")
@@ -302,32 +285,6 @@ def two_way_score(spark, d):
     return m.withColumn("both", both).groupBy("lang").agg(F.round(F.sum("both") / F.log(F.lit(2.0)) / F.sum("bytes"), 6).alias("bpb"), F.round(F.avg(F.when(F.col("b") < F.col("a"), 1.0).otherwise(0.0)), 6).alias("alt_wins"))
 
 
-@query("WITH " + SCORES_SQL + ", g AS (SELECT lang, CAST(sum(r2 - r0) / sum(bytes) AS DOUBLE) AS diff FROM s GROUP BY lang) SELECT w.lang, w.arm, round(diff, 6) AS diff, g.lang IS NULL OR w.arm = 'x-r0' AS missing FROM (SELECT l AS lang, a AS arm FROM (VALUES ('en'), ('de'), ('fr'), ('es'), ('ne')) x(l), (VALUES ('r2-r0')) y(a)) w LEFT JOIN g ON w.lang = g.lang")
-def test_matrix(spark, d):
-    """A fixed list of comparisons; those without data are reported, not failed."""
-    g = scores(spark, d).groupBy("lang").agg((F.sum(F.col("r2") - F.col("r0")) / F.sum("bytes")).cast("double").alias("diff"))
-    want = spark.createDataFrame([(x, "r2-r0") for x in ("en", "de", "fr", "es", "ne")], "lang string, arm string")
-    return want.join(g, "lang", "left").select("lang", "arm", F.round("diff", 6).alias("diff"), F.col("diff").isNull().alias("missing"))
-
-
-@query("WITH " + SCORES_SQL + " SELECT lang, round(CAST(sum(r2 - r0) / sum(bytes) AS DOUBLE), 6) AS diff, dense_rank() OVER (ORDER BY lang) - 1 AS rank, count(*) AS pieces FROM s WHERE piece_id < 3 GROUP BY lang")
-def equal_compute(spark, d):
-    """The comparison on the first pieces only, groups ranked anew."""
-    g = scores(spark, d).where("piece_id < 3").groupBy("lang").agg(F.round((F.sum(F.col("r2") - F.col("r0")) / F.sum("bytes")).cast("double"), 6).alias("diff"), F.count("*").alias("pieces"))
-    return g.select("lang", "diff", (F.dense_rank().over(Window.orderBy("lang")) - 1).cast("bigint").alias("rank"), "pieces")
-
-
-@query("SELECT d.lang, count(*) AS n, round(avg(quality), 6) AS acc, round(avg(CASE WHEN toxic = quality THEN 1.0 ELSE 0.0 END), 6) AS agree FROM labels JOIN documents d USING (doc_id) GROUP BY d.lang")
-def accuracy_by_lang(spark, d):
-    j = table(spark, d, "labels").join(docs(spark, d).select("doc_id", "lang"), "doc_id")
-    return j.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("acc"), F.round(F.avg(F.when(F.col("toxic") == F.col("quality"), 1.0).otherwise(0.0)), 6).alias("agree"))
-
-
-@query("SELECT l_orderkey % 4 AS opt, count(*) AS n, max_by(l_linenumber, l_extendedprice * 1000 + l_linenumber) AS best FROM lineitem GROUP BY ALL")
-def option_argmax(spark, d):
-    return table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 4).alias("opt")).agg(F.count("*").alias("n"), F.max_by("l_linenumber", F.col("l_extendedprice") * 1000 + F.col("l_linenumber")).alias("best"))
-
-
 # ---- vocabulary extension ----------------------------------------------------------------------------------------------------------
 
 
@@ -448,13 +405,6 @@ def u32_stream(spark, d):
     return spark.read.format("u32").load(path).agg(F.count("*").alias("ids"), F.sum("id").alias("total"), F.max("id").alias("largest"))
 
 
-@query("SELECT label, i AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 4) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY ALL")
-def embedding_mean_init(spark, d):
-    """A new row is the element-wise mean of its constituents' rows."""
-    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("p", "x"))
-    return e.groupBy("label", (F.col("p") + 1).cast("bigint").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))
-
-
 # ---- token streams -----------------------------------------------------------------------------------------------------------------
 
 
