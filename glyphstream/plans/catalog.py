@@ -289,31 +289,17 @@ def two_way_score(spark, d):
 
 
 def letter_types(spark, d):
-    t = word_rows(spark, d).groupBy(F.regexp_replace(F.lower("w"), "[^a-z]", "").alias("t")).agg(F.count("*").alias("n")).where("t <> ''")
+    t = word_rows(spark, d).groupBy(F.regexp_replace(F.lower("w"), r"[^\p{L}\p{M}]", "").alias("t")).agg(F.count("*").alias("n")).where("t <> ''")
     return t.select(F.split("t", "").alias("symbols"), "n")
 
 
-@query(f"""WITH t AS ({WORDS}), c AS (SELECT regexp_replace(lower(w), '[^a-z]', '', 'g') AS t, count(*) AS n FROM t GROUP BY 1), s AS (SELECT string_split(t, '') AS s, n FROM c WHERE t <> ''),
+@query(f"""WITH t AS ({WORDS}), c AS (SELECT regexp_replace(lower(w), '[^\\p{{L}}\\p{{M}}]', '', 'g') AS t, count(*) AS n FROM t GROUP BY 1), s AS (SELECT string_split(t, '') AS s, n FROM c WHERE t <> ''),
 p AS (SELECT unnest(list_zip(s[1:len(s)-1], s[2:])) AS z, n FROM s WHERE len(s) > 1) SELECT z[1] AS "left", z[2] AS "right", CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""")
 def pair_counts(spark, d):
     """Weighted adjacent-pair counts over distinct types: the first round of merge training."""
     return bpe.pair_counts(letter_types(spark, d))
 
 
-@query()
-def bpe_train_k(spark, d):
-    """Six greedy merges."""
-    got = bpe.train(spark, letter_types(spark, d), 6)
-    return spark.createDataFrame([(k, *m) for k, m in enumerate(got)], "rank int, left string, right string, n bigint")
-
-
-@query()
-def bpe_filter_closure(spark, d):
-    """Trained merges that a filter and their parts' survival leave."""
-    got = bpe.closed_filter([m[:2] for m in bpe.train(spark, letter_types(spark, d), 6)], set("abcdefghijklmnopqrstuvwxyz"), lambda s: "e" in s, 4)
-    return spark.createDataFrame([(k, *m) for k, m in enumerate(got)], "rank int, left string, right string")
-
-
 @query()
 def bpe_token_counts(spark, d):
     """Tokens, bytes and losslessness of a published byte-level vocabulary, by language."""
@@ -374,15 +360,6 @@ def script_fragments(spark, d):
     return out
 
 
-@query()
-def config_diff(spark, d):
-    """What a config keeps of another: here the vocabulary with merges trained on the tables put after its own."""
-    base = byte_config()
-    other = bpe.extended(base, [m[:2] for m in bpe.train(spark, letter_types(spark, d), 6)])
-    other["added_tokens"] = [*base["added_tokens"], {"id": 1 + max(other["model"]["vocab"].values()), "content": "<|x|>", "special": False}]
-    return tokens.config_diff(spark, base, other)
-
-
 @query()
 def pretok_alignment(spark, d):
     """Edit operations between the two patterns' pre-tokens over the derived text's sentences, by kind and length."""
