@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -11,10 +10,14 @@ from pyspark.sql.types import StringType
 from glyphstream.functions.patterns import PAT_A, TRANSLIT_FROM, TRANSLIT_TO
 
 
-@F.udf(StringType(), useArrow=True)
-def nfc(text):
-    """Canonical composition; Spark has no built-in. Null stays null."""
-    return None if text is None else unicodedata.normalize("NFC", text)
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFC")
+
+
+def nfc(text: Column) -> Column:
+    """Canonical composition; Spark has no built-in. Plain ASCII and null never reach Python."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def translit(text: Column) -> Column:

@@ -14,45 +14,66 @@ def short(text: Column, least: int = 200) -> Column:
 
 
 def first_of_equal(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """docs with a boolean dup: an earlier row has the same text. Grouped minima of hashes, so copies of one text pre-aggregate."""
+    """docs with a boolean dup: a row of smaller order has the same text. A null order comes last.
+
+    Only hashes of texts move: groups of two or more are found by a grouped minimum, which copies of one text pre-aggregate for, and joined
+    back by hash. Rows of equal text and equal order are none the first: none of them is marked for the other; see distinct_texts.
+    """
     key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    first = docs.groupBy(key.alias("__h")).agg(F.min(order).alias("__first"))
-    return docs.withColumn("__h", key).join(first, "__h").withColumn("dup", F.col(order) > F.col("__first")).drop("__h", "__first")
+    first = docs.select(key.alias("__h"), order).groupBy("__h").agg(F.min(order).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    later = F.when(F.col(order).isNull(), F.col("__first").isNotNull()).otherwise(F.col(order) > F.col("__first"))
+    return docs.withColumn("__h", key).join(first, "__h", "left").withColumn("dup", F.coalesce(later & F.col("__first").isNotNull(), F.lit(False))).drop("__h", "__first")
+
 
+def distinct_texts(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
+    """One whole row for each text, the one of the smallest order (null last); rows that repeat in full count once."""
+    rows = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__t"), F.struct(F.col(order).isNull(), F.col(order)).alias("__o"))
+    return rows.groupBy(F.sha2("__t", 256)).agg(F.min_by("__row", "__o").alias("__row")).select("__row.*")
 
-def _with_grams(docs: DataFrame, grams: Column, against: DataFrame, key: str) -> DataFrame:
-    hits = docs.select(key, F.explode(grams).alias("gram")).join(against.distinct(), "gram", "left_semi").select(key).distinct()
-    return docs.join(hits.withColumn("contaminated", F.lit(True)), key, "left").withColumn("contaminated", F.coalesce("contaminated", F.lit(False)))
+
+def _with_grams(docs: DataFrame, grams: Column, against: DataFrame, key: str, text: str, small: int = 1_000_000) -> DataFrame:
+    """docs with contaminated. Grams meet as 128 bits of hashes; the other side goes to every task if it has at most `small`, and is
+    shuffled if not. Rows are told apart by key and text, so null and shared keys do no harm, and texts do not move with grams.
+    """
+    hashes = lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(g, F.lit(1)).alias("g"))
+    rows = docs.withColumn("__t", F.xxhash64(text))
+    mine = rows.select(key, "__t", F.explode(F.transform(grams, hashes)).alias("z")).select(F.col(key).alias("__k"), F.col("__t").alias("__u"), "z.h", "z.g")
+    theirs = against.select(hashes(F.col("gram")).alias("z")).select("z.h", "z.g").distinct()
+    hits = mine.join(F.broadcast(theirs) if theirs.count() <= small else theirs, ["h", "g"], "left_semi").select("__k", "__u").distinct().withColumn("contaminated", F.lit(True))
+    met = rows.join(hits, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__t") == F.col("__u")), "left")
+    return met.withColumn("contaminated", F.coalesce("contaminated", F.lit(False))).drop("__t", "__k", "__u")
 
 
 def word_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id") -> DataFrame:
     """docs with contaminated: shares a run of n words with the benchmark."""
-    return _with_grams(docs, word_grams(F.col("text"), n), benchmark.select(F.explode(word_grams(F.col("text"), n)).alias("gram")), key)
+    return _with_grams(docs, word_grams(F.col("text"), n), benchmark.select(F.explode(word_grams(F.col("text"), n)).alias("gram")), key, "text")
 
 
 def char_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 50, stride: int = 25, key: str = "doc_id") -> DataFrame:
     """The same by runs of n characters: every offset of the benchmark, every stride-th of a document."""
-    return _with_grams(docs, char_grams(F.col("text"), n, stride), benchmark.select(F.explode(char_grams(F.col("text"), n, 1)).alias("gram")), key)
+    return _with_grams(docs, char_grams(F.col("text"), n, stride), benchmark.select(F.explode(char_grams(F.col("text"), n, 1)).alias("gram")), key, "text")
 
 
-def running(df: DataFrame, size: str, order: str, by: list[str] | None = None, buckets: int = 64, lo: int | None = None, hi: int | None = None) -> DataFrame:
-    """df with before: the sum of size over earlier rows by a whole-number order.
+def running(df: DataFrame, size: str, order: str, by: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """df with before: the sum of size over earlier rows by a numeric order, within groups of `by`; a null order comes last.
 
-    Without `by`, rows fall into ranges of the order; sums of ranges are prefix-summed, then rows within each range; no task
-    takes all rows.
+    Rows fall into ranges of the order between its quantiles; sums of ranges are prefix-summed, then rows within each range. So no task
+    takes all rows, however ids are spread, nor all of one large group.
     """
-    if by:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)))
-    if lo is None or hi is None:
-        lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // buckets))
-    cut = df.withColumn("__r", F.floor((F.col(order) - F.lit(lo or 0)) / width))
-    sums = cut.groupBy("__r").agg(F.sum(size).alias("__s"))
-    base = sums.withColumn("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
-    inner = F.sum(size).over(Window.partitionBy("__r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    # at most `buckets` rows
-    return cut.join(F.broadcast(base), "__r").withColumn("before", F.col("__b") + F.coalesce(inner, F.lit(0))).drop("__r", "__b")
+    by = by or []
+    cuts = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.002)))
+    low = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    cut = df.withColumn("__r", F.when(F.col(order).isNull(), len(cuts) + 1).otherwise(low))
+    sums = cut.groupBy(*by, "__r").agg(F.sum(size).alias("__s"))
+    up = lambda *cols: Window.partitionBy(*by).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.withColumn("__b", F.coalesce(F.sum("__s").over(up("__r")), F.lit(0)))
+    base = base.select(*(F.col(x).alias(f"__{x}") for x in by), F.col("__r").alias("__q"), "__b")
+    inner = F.sum(size).over(Window.partitionBy(*by, "__r").orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    same = F.col("__r") == F.col("__q")
+    for x in by:
+        same = same & F.col(x).eqNullSafe(F.col(f"__{x}"))
+    met = cut.withColumn("before", F.coalesce(inner, F.lit(0))).join(base if by else F.broadcast(base), same)  # without `by` at most buckets + 1 rows
+    return met.withColumn("before", F.col("before") + F.col("__b")).drop("__r", "__q", "__b", *(f"__{x}" for x in by))
 
 
 def within_budget(df: DataFrame, size: str, order: str, budget: int, by: list[str] | None = None) -> DataFrame:

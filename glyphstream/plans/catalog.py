@@ -369,17 +369,16 @@ def pretok_alignment(spark, d):
     return o.groupBy("o.op", (F.col("o.i2") - F.col("o.i1")).alias("a_len"), (F.col("o.j2") - F.col("o.j1")).alias("b_len")).agg(F.sum("n").alias("n"))
 
 
-@query("SELECT count(*) AS ids, CAST(sum(n_chars) AS BIGINT) AS total, CAST(max(n_chars) AS BIGINT) AS largest FROM documents WHERE n_chars IS NOT NULL")
+@query("WITH r AS (SELECT n_chars AS id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents WHERE n_chars IS NOT NULL) SELECT count(*) AS ids, CAST(sum(id) AS BIGINT) AS total, CAST(sum(id * (pos % 1009)) AS BIGINT) AS ordered FROM r")
 def u32_stream(spark, d):
-    """A stream of numbers written as unsigned 32-bit files in the shared folder and read back by ranges."""
+    """A stream of numbers written in order as unsigned 32-bit files in the shared folder and read back by ranges with their positions."""
     from glyphstream.sources.shared import folder
-    from glyphstream.sources.u32 import U32Source
+    from glyphstream.sources.u32 import U32Source, in_order
 
     spark.dataSource.register(U32Source)
     path = folder(spark, "u32")
-    rows = docs(spark, d).where("n_chars is not null").select(F.lit(0).cast("bigint").alias("pos"), F.col("n_chars").cast("bigint").alias("id"))
-    rows.write.format("u32").mode("append").save(path)
-    return spark.read.format("u32").load(path).agg(F.count("*").alias("ids"), F.sum("id").alias("total"), F.max("id").alias("largest"))
+    in_order(docs(spark, d).where("n_chars is not null").select(F.col("doc_id").alias("pos"), F.col("n_chars").cast("bigint").alias("id"))).write.format("u32").mode("append").save(path)
+    return spark.read.format("u32").load(path).agg(F.count("*").alias("ids"), F.sum("id").alias("total"), F.sum(F.col("id") * (F.col("pos") % 1009)).alias("ordered"))
 
 
 # ---- token streams -----------------------------------------------------------------------------------------------------------------

@@ -1,8 +1,9 @@
 """A data source of token streams: files of little-endian unsigned 32-bit ids, read by ranges and written a file a task.
 
 Register with spark.dataSource.register(U32Source); then spark.read.format("u32").load(path) gives (pos, id), pos counting over the
-files by name, and df.write.format("u32").mode("append").save(path) writes a file of the id column for each task, in task order.
-Paths must be mounted alike on the driver and executors.
+files by name, and in_order(df).write.format("u32").mode("append").save(path) writes a file of the id column for each task, in task order.
+Rows must ascend by pos within a task, and do by in_order across tasks; a later append comes after all earlier ones.
+Paths must be mounted alike on the driver and executors; a URI of another store is an error.
 """
 
 from __future__ import annotations
@@ -17,7 +18,15 @@ WIDTH = 4
 
 
 def local(path: str) -> str:
-    return path.removeprefix("file://")
+    found = path.removeprefix("file://").removeprefix("file:")
+    if "://" in found:
+        raise ValueError(f"{path}: this source reads and writes mounted paths only")
+    return found
+
+
+def in_order(df):
+    """df (pos, id) dealt to tasks by ranges of pos and sorted within them."""
+    return df.select("pos", "id").repartitionByRange("pos").sortWithinPartitions("pos")
 
 
 class Range(InputPartition):
@@ -73,20 +82,27 @@ class Writer(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         os.makedirs(self.path, exist_ok=True)
-        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.u32"
+        name, last = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.u32", None
         at = f"{self.path}/.{name}"
         with open(at, "wb") as f:
             for b in iterator:
+                pos = np.asarray(b.column(b.schema.get_field_index("pos")))
+                if len(pos):
+                    if (np.diff(pos) <= 0).any() or last is not None and pos[0] <= last:
+                        raise ValueError("rows must ascend by pos within a task: write in_order(df)")
+                    last = pos[-1]
                 ids = np.asarray(b.column(b.schema.get_field_index("id")))
                 if ids.dtype.kind not in "iu" or len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
                     raise ValueError("ids must be whole numbers below 2 ** 32, without nulls")
                 f.write(ids.astype("<u4").tobytes())
-        return Written(at, f"{self.path}/{name}")
+        return Written(at, name)
 
     def commit(self, messages):
         old = glob.glob(f"{self.path}/*.u32") if self.overwrite else []
+        before = glob.glob(f"{self.path}/*.u32")
+        number = 1 + max((int(os.path.basename(f).split("-")[1]) for f in before), default=-1)  # appends stay in order
         for m in messages:
-            os.replace(m.temporary, m.final)
+            os.replace(m.temporary, f"{self.path}/part-{number:06d}-{m.final}")
         for f in old:
             os.remove(f)
 

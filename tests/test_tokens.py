@@ -99,7 +99,7 @@ def test_alignment_turns_one_into_the_other(spark):
 
 
 def test_u32_round_trip(spark, tmp_path):
-    from glyphstream.sources.u32 import U32Source
+    from glyphstream.sources.u32 import U32Source, in_order
 
     spark.dataSource.register(U32Source)
     path, ids = f"{tmp_path}/s", [random.randrange(1 << 32) for _ in range(5000)]
@@ -108,9 +108,15 @@ def test_u32_round_trip(spark, tmp_path):
     assert [r.id for r in got.orderBy("pos").collect()] == ids and got.rdd.getNumPartitions() == 8
     spark.range(10).select(F.col("id").alias("pos"), "id").write.format("u32").mode("overwrite").save(path)
     assert sorted(r.id for r in spark.read.format("u32").load(path).collect()) == list(range(10))
+    in_order(spark.range(20, 40).select((40 - F.col("id")).alias("pos"), "id").repartition(3)).write.format("u32").mode("append").save(path)
+    assert [r.id for r in spark.read.format("u32").load(path).orderBy("pos").collect()][10:] == list(range(39, 19, -1))
+    with pytest.raises(Exception, match="ascend by pos"):
+        spark.sql("select 0L as pos, id from range(5)").coalesce(1).write.format("u32").mode("append").save(path)
+    with pytest.raises(Exception, match="mounted paths"):
+        spark.read.format("u32").load("hdfs://nowhere/x").count()
     with pytest.raises(Exception, match="below 2"):
         spark.sql("select 0L as pos, -1L as id").write.format("u32").mode("append").save(path)
-    assert spark.read.format("u32").load(path).count() == 10
+    assert spark.read.format("u32").load(path).count() == 30
 
 
 def test_extended_config_keeps_ids():
