@@ -182,15 +182,20 @@ def keeps_script(token: bytes, ranges, fragments: bool = True) -> bool:
     return bool(runs)
 
 
-def script_tokens(tokens: DataFrame, script: str, fragments: bool = True, col: str = "bytes") -> DataFrame:
-    """The rows of a vocabulary table whose bytes pass keeps_script."""
+def keep_fragment(token: Column, script: str, fragments: bool = True) -> Column:
+    """keeps_script of a column of bytes; null is kept out."""
     ranges = SCRIPTS[script]
 
     @F.udf(T.BooleanType(), useArrow=True)
     def keep(b):
         return b is not None and keeps_script(bytes(b), ranges, fragments)
 
-    return tokens.where(keep(F.col(col)))
+    return keep(token)
+
+
+def script_tokens(tokens: DataFrame, script: str, fragments: bool = True, col: str = "bytes") -> DataFrame:
+    """The rows of a vocabulary table whose bytes pass keeps_script."""
+    return tokens.where(keep_fragment(F.col(col), script, fragments))
 
 
 # ---- configs -----------------------------------------------------------------------------------------------------------------------

@@ -242,6 +242,16 @@ def units_per_token(spark, d):
     return u.agg(F.count("*").alias("tokens"), F.sum("units").alias("units"), *(F.count_if(F.col("units") >= k).alias(n) for k, n in ((2, "two"), (3, "three"), (4, "four"))))
 
 
+@query("WITH " + SPAN_SQL + " SELECT item_id, a AS start, b AS stop FROM x")
+def word_spans(spark, d):
+    """Spans of a pattern's matches by a table function in a lateral join."""
+    from glyphstream.functions import spans
+
+    spans.register(spark)
+    table(spark, d, "benchmark").createOrReplaceTempView("span_items")
+    return spark.sql(r"SELECT item_id, CAST(s.start AS BIGINT) AS start, CAST(s.end AS BIGINT) AS stop FROM span_items, LATERAL regex_spans(text, '[^ ]+') s")
+
+
 @query("""WITH o AS (SELECT item_id, i, 3 * i - CASE WHEN i % 4 = 1 THEN 1 ELSE 0 END AS a, 3 * i + 3 AS b FROM (SELECT item_id, unnest(range(0, length(text) // 3)) AS i FROM benchmark)),
 l AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM o WINDOW w AS (PARTITION BY item_id ORDER BY i))
 SELECT item_id, count(*) - 1 AS boundaries, count(*) FILTER (WHERE a < pb OR a = pa) AS intra FROM l GROUP BY item_id""")

@@ -104,3 +104,62 @@ def test_extended_vocabulary_encodes_as_its_merges_say(spark, tmp_path):
         for r in bpe.encode(texts, vocabulary).collect():
             assert r.lossless and len(r.ids) == lengths[r.text][at]
     assert all(b < a for a, b in lengths.values())
+
+
+def test_extension_from_documents_to_stream(spark, tmp_path):
+    from glyphstream.functions import patterns as P
+    from glyphstream.plans.extension import extend
+    from glyphstream.plans.vocabulary import repaired
+
+    random.seed(5)
+    words = ["".join(random.choices("कखगघनमरलिीेा्", k=random.randint(2, 6))) for _ in range(60)]
+    rows = [(i, " ".join(random.choices(words, k=80))) for i in range(30)]
+    rows += [(100, rows[3][1]), (101, "short"), (102, None), (103, " " + rows[4][1] + "\n")]
+    out = f"{tmp_path}/x"
+    r = extend(spark, spark.createDataFrame(rows, "doc_id long, text string"), repaired(), "Deva", 40, out, held=3000).first()
+    clean = {x.doc_id: x for x in spark.read.parquet(f"{out}/clean").collect()}
+    assert set(clean) == set(range(30)) and r.held_docs + r.train_docs == 30 and r.lossless and r.merges == 40
+    held, size = set(), 0
+    for i in range(30):
+        if size < 3000:
+            held.add(i)
+        size += len(clean[i].text.encode())
+    assert {i for i, x in clean.items() if x.split == "held"} == held
+    from tokenizers import Tokenizer
+
+    import json
+
+    config = bpe.read_config(spark, f"{out}/tokenizer")
+    assert P.split_patterns(config) == P.split_patterns(repaired()) and len(config["model"]["vocab"]) > len(repaired()["model"]["vocab"])
+    coder = Tokenizer.from_str(json.dumps(config))
+    import hashlib
+
+    place = lambda i: int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:15], 16)
+    want = [x for i in sorted(set(clean) - held, key=place) for x in [*coder.encode(clean[i].text).ids, 50256]]
+    got = spark.read.format("u32").load(f"{out}/stream").orderBy("pos").collect()
+    assert [x.id for x in got] == want and r.ids == len(want)
+
+
+def test_span_functions(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from glyphstream.functions import spans
+
+    spans.register(spark)
+    texts = ["it's नेपाल 12", "", None, "é😀é"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").createOrReplaceTempView("span_texts")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = spark.sql(f"SELECT k, s.* FROM span_texts, LATERAL token_spans(t, '{path}') s ORDER BY k, idx").collect()
+    coder = Tokenizer.from_file(path)
+    for k, t in enumerate(texts):
+        mine = [r for r in got if r.k == k]
+        assert [r.id for r in mine] == (coder.encode(t).ids if t else [])
+        raw, at = (t or "").encode(), 0
+        for r in mine:
+            assert r.byte_start == at and r.intra == (raw[at] & 0xC0 == 0x80)
+            assert r.char_start == sum(x & 0xC0 != 0x80 for x in raw[: at + 1]) - 1
+            at = r.byte_end
+        assert at == len(raw)
+    found = spark.sql(r"SELECT k, s.start, s.end, s.piece FROM span_texts, LATERAL regex_spans(t, '\\w+') s ORDER BY k, start").collect()
+    assert [(r.k, r.start, r.end, r.piece) for r in found][:2] == [(0, 0, 2, "it"), (0, 3, 4, "s")]
