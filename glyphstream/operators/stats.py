@@ -20,9 +20,10 @@ STEPS = tuple(math.floor(p * (1 << 32)) for p in POISSON)
 
 
 def _weight(u: Column) -> Column:
+    """Weight of a number given as eight hexadecimal digits, which compare as numbers do."""
     out = F
     for k, top in enumerate(STEPS):
-        out = out.when(u < top, k)
+        out = out.when(u < f"{top:08x}", k)
     return out.otherwise(len(STEPS))
 
 
@@ -37,7 +38,7 @@ def resampled(units: DataFrame, sums: list[str], key: Column, replicates: int, b
     held = units.select(*by, key.cast("string").alias("__k"), *(F.col(c) for c in sums))
     block = held.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
     hashed = block.withColumn("__h", F.md5(F.concat_ws(":", "__c", "__k").cast("binary")))
-    four = F.array(*(F.struct((F.col("__c") * 4 + q).alias("b"), _weight(F.conv(F.substring("__h", 8 * q + 1, 8), 16, 10).cast("bigint")).alias("w")) for q in range(4)))
+    four = F.array(*(F.struct((F.col("__c") * 4 + q).alias("b"), _weight(F.substring("__h", 8 * q + 1, 8)).alias("w")) for q in range(4)))
     drawn = hashed.withColumn("__z", F.explode(four)).where((F.col("__z.w") > 0) & (F.col("__z.b") < replicates))
     return drawn.groupBy(*by, F.col("__z.b").alias("b")).agg(*(F.sum(F.col(c) * F.col("__z.w")).alias(c) for c in sums))
 
