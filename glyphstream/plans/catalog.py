@@ -227,7 +227,10 @@ def scores(spark, d):
     return pieces(spark, d).withColumns({"r0": F.col("bytes") * 0.95 + F.col("piece_id") % 7 * 0.5, "r1": F.col("bytes") * 0.93 + F.col("doc_id") % 5 * 0.4, "r2": F.col("bytes") * 0.90 + F.col("piece_id") % 3 * 0.3})
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: {'done': []::BIGINT[], 'cur': strlen(x)::BIGINT}) AS w FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, list_reduce(w, lambda a, x: {'done': CASE WHEN a.cur <> 0 AND a.cur + 1 + x.cur > 2000 THEN list_append(a.done, a.cur) ELSE a.done END, 'cur': CASE WHEN a.cur = 0 OR a.cur + 1 + x.cur > 2000 THEN x.cur ELSE a.cur + 1 + x.cur END}) AS s FROM w),
+p AS (SELECT doc_id, CASE WHEN s.cur = 0 THEN s.done ELSE list_append(s.done, s.cur) END AS l FROM f)
+SELECT doc_id, unnest(range(len(l)))::INT AS piece_id, unnest(l)::INT AS bytes FROM p""")
 def piece_packing(spark, d):
     """Greedy pieces of at most 2,000 bytes."""
     c = docs(spark, d).select("doc_id", F.posexplode(X.packed_pieces(F.col("text"))).alias("piece_id", "piece"))

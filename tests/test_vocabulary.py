@@ -91,6 +91,8 @@ def test_extended_vocabulary_encodes_as_its_merges_say(spark, tmp_path):
     spelled = bpe.split_by(byte_config(), public_tokenizers.PATTERN)
     plain = spark.createDataFrame([("it's 1234 o'clock,  नेपालको\n\n x<|endoftext|>",), ("",)], "text string")
     assert [r.ids for r in bpe.encode(plain, path).collect()] == [r.ids for r in bpe.encode(plain, spelled).collect()]
+    back = bpe.decoded(bpe.encode(plain, path).select("ids").union(spark.createDataFrame([([50256],), (None,)], "ids array<int>")), byte_config()).collect()
+    assert [r.text for r in back] == [r.text for r in plain.collect()] + ["<|endoftext|>", None]
     assert P.split_patterns(repaired()) == [P.repair(public_tokenizers.PATTERN)] != [public_tokenizers.PATTERN]
     words = [f"नेपाल{x}" for x in ("", "को", "ी", "लाई")] * 3
     types = spark.createDataFrame(list(Counter(words).items()), "ptok string, n bigint")
