@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphstream.llm.common import materialize, read, small_batches, text_bytes
+from glyphstream.operators.tokens import byte_of_letter
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many), ...), bins
 
@@ -289,7 +290,7 @@ class ChunkCodec:
         self.letters: dict[str, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
         self.most = most
-        self.bytes = byte_letters()
+        self.bytes = {b: c for c, b in byte_of_letter().items()}
 
     def _whole(self, chunks: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch_fast([w.decode("utf-8") for w in chunks], add_special_tokens=False)]
@@ -324,13 +325,6 @@ class ChunkCodec:
         return [b"".join(map(get, p)) for p in parts]
 
 
-def byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write bytes with: printable bytes as themselves, the others from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
 def tokenized_pieces(docs: DataFrame, path: str, cap: int, end_id: int) -> DataFrame:
     """docs (doc_id, text) -> pieces (doc_id, piece, start, length, ids_crc32, task, rank): rank among the task's pieces of that length."""
 
