@@ -306,7 +306,7 @@ def test_decontamination_index_prunes_and_misses_nothing():
     assert set(zip(row.tolist(), item.tolist())) == want and len(want) > 500
     assert index.candidates / index.windows < 0.08 * 400, index.candidates / index.windows
     within = {}
-    for changed in (2, 4):  # of 96 shingles 10 or 20 differ: similarity 0.81 and 0.66
+    for changed in (1, 2):  # of 96 shingles 5 or 10 differ: similarity 0.90 and 0.81
         found = 0
         for _ in range(200):
             item = random.choices(w, k=100)
@@ -316,7 +316,7 @@ def test_decontamination_index_prunes_and_misses_nothing():
             one = Index([(0, " ".join(item)), (1, " ".join(text))], 5, 14, 0.8)
             found += (int(one.fps[0]) ^ int(one.fps[1])).bit_count() <= 14
         within[changed] = found / 200
-    assert within[2] > 0.88, within
+    assert within[1] > 0.99 and within[2] > 0.94, within
 
 
 def test_html():
