@@ -14,10 +14,13 @@ then optimal), or after `nodes` fillings, where a bin with many lengths to choos
 
 from __future__ import annotations
 
+import functools
 import math
+import os
 import re
 from bisect import bisect_right
 from collections import Counter
+from itertools import chain, islice
 
 import numpy as np
 from pyspark import TaskContext
@@ -267,60 +270,85 @@ def plan_rows(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, in
     return rows
 
 
-#: Letters that the vocabulary's normalizer maps one by one; a run of them is one token of its pre-tokenizer.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Chunks whose tokens Python can cut as the vocabulary's normalizer and pre-tokenizer do: printable ASCII and Latin-1 letters, which are
+#: composed already and are lowered one by one. Those with "<|" may hold a special token.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+@functools.cache
+def coders(path: str) -> tuple:
+    """(whole tokenizer, its merge model over words that white space separates, which ids end a word), read once in a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = False
+    merges = Tokenizer(whole.model)
+    merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    vocab = merges.get_vocab()
+    suffix = getattr(whole.model, "end_of_word_suffix", None)
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+    return whole, merges, ends
 
 
 class ChunkCodec:
     """Little-endian unsigned 32-bit ids of texts. White space separates the vocabulary's tokens, so distinct chunks are encoded once.
 
-    A chunk of plain letters, with or without closing punctuation, goes straight to the merge model, which costs a third of
-    the whole tokenizer and gives the same ids; all other chunks take the whole tokenizer.
+    A plain chunk is cut here, and its distinct pieces go straight to the merge model, thousands in one call, which gives
+    the same ids as the whole tokenizer; all other chunks take the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = False
+    def __init__(self, path: str, most: int = 600_000):
+        self.coder, self.merges, self.ends = coders(path)
         self.known: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.tails: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.most = most
-        self.bytes = {b: c for c, b in byte_of_letter().items()}
+        self.bytes = {b: c for c, b in byte_of_letter().items() if b != 0x20}
 
     def _whole(self, chunks: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch_fast([w.decode("utf-8") for w in chunks], add_special_tokens=False)]
 
-    def _learn(self, new: set[bytes]) -> None:
-        rest, tokenize = [], self.coder.model.tokenize
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each of which is one token of the pre-tokenizer."""
+        text = " ".join(words).encode().decode("latin-1").translate(self.bytes).split(" ")
+        lines = [" ".join(text[lo : lo + 16]) for lo in range(0, len(text), 16)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words):  # a vocabulary that does not mark ends of words
+            return [b"".join([x.id.to_bytes(4, "little") for x in self.merges.model.tokenize(w)]) for w in text]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        rest, plain, sizes, flat = [], [], [], []
         for w in new:
-            core = w.rstrip(b".,;:!?")
-            text = core.decode("utf-8")
-            if not LETTERS.fullmatch(text):
+            text = w.decode("utf-8")
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                text = text.lower()
+                core = text.rstrip(".,;:!?")
+                parts = [core, text[len(core) :]] if core.isalpha() and len(core) < len(text) else [text] if core.isalpha() else PIECE.findall(text)
+                plain.append(w)
+                sizes.append(len(parts))
+                flat += parts
+            else:
                 rest.append(w)
-                continue
-            text, tail = text.lower(), w[len(core) :]
-            ids = self.letters.get(text)
-            if ids is None:
-                ids = self.letters[text] = b"".join([x.id.to_bytes(4, "little") for x in tokenize(text.encode().decode("latin-1").translate(self.bytes))])
-            if tail:
-                if tail not in self.tails:
-                    self.tails[tail] = self._whole([tail])[0]
-                ids += self.tails[tail]
-            self.known[w] = ids
+        fresh = [w for w in dict.fromkeys(flat) if w not in self.pieces]
+        for lo in range(0, len(fresh), 16_384):
+            self.pieces.update(zip(fresh[lo : lo + 16_384], self._merge(fresh[lo : lo + 16_384])))
+        ids = map(self.pieces.__getitem__, flat)
+        self.known.update((w, next(ids) if n == 1 else b"".join(islice(ids, n))) for w, n in zip(plain, sizes))
         for lo in range(0, len(rest), 4096):
             self.known.update(zip(rest[lo : lo + 4096], self._whole(rest[lo : lo + 4096])))
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         parts = [r.split() for r in raws]
-        for held in (self.known, self.letters, self.tails):
+        for held in (self.known, self.pieces):
             if len(held) > self.most:
                 held.clear()
-        self._learn(set().union(*parts) - self.known.keys())
+        # in order of occurrence: chunks of one text lie side by side in memory, and a lookup costs half as much
+        self._learn([w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in self.known])
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
