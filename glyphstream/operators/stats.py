@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphstream.functions import md5
+
 
 def verdict(lo: Column, hi: Column, margin: float = 0.01) -> Column:
     """Fixed order, strict comparisons: better, non-inferior, worse, no detectable difference."""
@@ -19,44 +22,92 @@ POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))
 STEPS = tuple(math.floor(p * (1 << 32)) for p in POISSON)
 
 
-def _weight(u: Column) -> Column:
-    """Weight of a number given as eight hexadecimal digits, which compare as numbers do."""
-    out = F
-    for k, top in enumerate(STEPS):
-        out = out.when(u < f"{top:08x}", k)
-    return out.otherwise(len(STEPS))
+def _drawn(units: DataFrame, sums: list[str], key: Column, replicates: int, by: list[str]) -> DataFrame:
+    """(by, b, units, sums): the sums over each resample b, and over the units as they are at b = -1, with their number.
+
+    Hashes are most of the work, some 500 a unit, so they are made by array operations, thousands of units at once.
+    """
+    from pyspark.sql import types as T
+
+    held = units.select(*by, key.cast("string").alias("__k"), *(F.col(c).cast("double").alias(c) for c in sums))
+    spark, k = units.sparkSession, len(sums)
+    held = held.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))  # rows are small, their work is not
+    schema = T.StructType([*held.schema.fields[: len(by)], T.StructField("b", T.IntegerType()), T.StructField("units", T.LongType()), *held.schema.fields[-k:]])
+    blocks = (replicates - 1) // 4 + 1
+
+    def hashed(keys):
+        """For each block its number and the four words of all keys' hashes; those that are null, long or many-numbered one by one."""
+        plain = np.array([x is not None and len(x.encode()) <= md5.MOST - 4 for x in keys], bool)
+        rest = np.flatnonzero(~plain)
+        short = [x.encode() for x, ok in zip(keys, plain) if ok]
+        each = md5.numbered(short, range(min(blocks, 1000)))
+        for c in range(blocks):
+            out = np.empty((4, len(keys)), np.uint32)
+            if c < 1000:
+                out[:, plain] = next(each)[1]
+            for j in rest if c < 1000 else range(len(keys)):
+                out[:, j] = np.frombuffer(hashlib.md5((str(c) if keys[j] is None else f"{c}:{keys[j]}").encode()).digest(), "<u4")
+            yield c, out.byteswap()  # hexadecimal digits begin with the lowest byte
+
+    def run(batches):
+        import pyarrow as pa
+
+        tops, found = np.array(STEPS, np.uint32), {}
+        for batch in batches:
+            parts = -(-batch.num_rows // 8192)
+            for lo, hi in ((i * batch.num_rows // parts, (i + 1) * batch.num_rows // parts) for i in range(parts)):
+                b = batch.slice(lo, hi - lo)
+                groups = list(zip(*(b.column(i).to_pylist() for i in range(len(by))))) or [()] * len(b)
+                codes = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+                of = np.array([codes[g] for g in groups])
+                order = np.argsort(of, kind="stable")
+                edges = np.searchsorted(of[order], range(len(codes) + 1)).tolist()
+                values = [b.column(len(by) + 1 + i) for i in range(k)]
+                there = [np.asarray(v.is_valid()).astype(float) for v in values]
+                v = np.array([*(np.asarray(x.fill_null(0.0)) for x in values), *there, np.ones(len(b))]).T[order]
+                finite = np.isfinite(v).all()
+                names = b.column(len(by)).to_pylist()
+                stretches = [(found.setdefault(g, np.zeros((blocks * 4 + 1, 2 * k + 1))), x, y) for g, x, y in zip(codes, edges, edges[1:])]
+                for acc, x, y in stretches:
+                    acc[-1] += v[x:y].sum(0)
+                for c, u in hashed([names[i] for i in order.tolist()]):
+                    w = (u >= tops[0]).astype(float)
+                    w += u >= tops[1]
+                    high = u >= tops[2]
+                    w[high] = np.searchsorted(tops, u[high], side="right")
+                    for acc, x, y in stretches:
+                        z = w[:, x:y]
+                        acc[4 * c : 4 * c + 4] += z @ v[x:y] if finite else np.where(z[:, :, None] > 0, z[:, :, None] * v[None, x:y], 0).sum(1)
+        for g, acc in found.items():
+            at = [*(np.flatnonzero(acc[:replicates, -1] > 0)).tolist(), len(acc) - 1]
+            acc = acc[at]
+            number = pa.array([*at[:-1], -1], pa.int32())
+            out = [pa.array(acc[:, i], mask=acc[:, k + i] == 0) for i in range(k)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(at), batch.schema.field(i).type) for i, x in enumerate(g)), number, pa.array(acc[:, -1].astype(np.int64)), *out], schema.names)
+
+    return held.mapInArrow(run, schema).groupBy(*by, "b").agg(F.sum("units").alias("units"), *(F.sum(c).alias(c) for c in sums))
 
 
 def resampled(units: DataFrame, sums: list[str], key: Column, replicates: int, by: list[str] | None = None) -> DataFrame:
-    """(by, b, sums): the sums over each of so many resamples of the units, in one aggregate without a join or a global order.
+    """(by, b, sums): the sums over each of so many resamples of the units, without a join or a global order.
 
     In a resample each unit counts a Poisson(1) number of times (the large-table form of drawing with replacement), told by the md5 of key
     and replicate, so any engine gives the same. key must differ between units. Units should be sums by cluster already, for
     the work, though not the shuffle, grows with units times replicates: each task hands on one row a replicate and group.
     """
-    by = by or []
-    held = units.select(*by, key.cast("string").alias("__k"), *(F.col(c) for c in sums))
-    block = held.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
-    hashed = block.withColumn("__h", F.md5(F.concat_ws(":", "__c", "__k").cast("binary")))
-    four = F.array(*(F.struct((F.col("__c") * 4 + q).alias("b"), _weight(F.substring("__h", 8 * q + 1, 8)).alias("w")) for q in range(4)))
-    drawn = hashed.withColumn("__z", F.explode(four)).where((F.col("__z.w") > 0) & (F.col("__z.b") < replicates))
-    return drawn.groupBy(*by, F.col("__z.b").alias("b")).agg(*(F.sum(F.col(c) * F.col("__z.w")).alias(c) for c in sums))
+    whole = {f.name for f in units.schema.fields if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")}
+    r = _drawn(units, sums, key, replicates, by or []).where("b >= 0")
+    return r.select(*(by or []), "b", *(F.col(c).cast("bigint").alias(c) if c in whole else F.col(c) for c in sums))
 
 
 def intervals(units: DataFrame, top: str, bottom: str, key: Column, replicates: int, by: list[str] | None = None) -> DataFrame:
-    """(by, estimate, units, lo, hi): sum(top) / sum(bottom) and its 95 % percentile interval over resampled units."""
+    """(by, estimate, units, lo, hi): sum(top) / sum(bottom) and its 95 % percentile interval over resampled units, in one pass over them."""
     by = by or []
-    point = units.groupBy(*by).agg((F.sum(top) / F.sum(bottom)).cast("double").alias("estimate"), F.count("*").alias("units"))
-    r = resampled(units, [top, bottom], key, replicates, by).where(F.col(bottom) != 0).withColumn("__r", (F.col(top) / F.col(bottom)).cast("double"))
-    ci = r.groupBy(*by).agg(F.percentile("__r", F.lit(0.025)).alias("lo"), F.percentile("__r", F.lit(0.975)).alias("hi"))
-    if not by:
-        return point.crossJoin(ci)  # a row each
-    p, c = point.alias("p"), ci.alias("c")
-    same = [F.col(f"p.{x}").eqNullSafe(F.col(f"c.{x}")) for x in by]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return p.join(c, on).select("p.*", "c.lo", "c.hi")
+    r = _drawn(units, [top, bottom], key, replicates, by)
+    whole, drawn = F.col("b") == -1, (F.col("b") >= 0) & (F.col(bottom) != 0)
+    ratio = F.when(drawn, F.col(top) / F.col(bottom))
+    out = r.groupBy(*by).agg((F.max(F.when(whole, F.col(top))) / F.max(F.when(whole, F.col(bottom)))).alias("estimate"), F.coalesce(F.max(F.when(whole, F.col("units"))), F.lit(0)).alias("units"), F.percentile(ratio, F.lit(0.025)).alias("lo"), F.percentile(ratio, F.lit(0.975)).alias("hi"))
+    return out.where("lo is not null") if by else out
 
 
 def clusters(pieces: DataFrame, doc: str, piece: str, size: str, closes: int = 1900, truth: DataFrame | None = None) -> DataFrame:

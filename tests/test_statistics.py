@@ -31,6 +31,27 @@ def test_resampled_sums_and_intervals(spark):
     assert stats.intervals(df.limit(0), "d", "n", F.col("k"), 10, ["g"]).count() == 0
 
 
+def test_hashes_of_many_keys_at_once():
+    from glyphstream.functions import md5
+
+    keys = [b"", b"7", "é/12".encode(), b"x" * (md5.MOST - 4), *(b"%d" % k for k in range(30))]
+    for c, words in md5.numbered(keys, range(0, 1000, 37)):
+        for j, k in enumerate(keys):
+            assert b"".join(int(w[j]).to_bytes(4, "little") for w in words) == hashlib.md5(b"%d:" % c + k).digest()
+
+
+def test_resampled_counts_nulls_and_odd_keys_as_the_engine_does(spark):
+    rows = [("a" * n, None if n % 4 == 0 else n / 2, n) for n in (1, 2, 3, 4, 8, 50, 51, 52, 60, 90)] + [(None, 2.0, 3)]
+    df = spark.createDataFrame(rows, "k string, d double, n long")
+    got = {r.b: r for r in stats.resampled(df, ["d", "n"], F.col("k"), 4006).collect()}
+    for b in (0, 7, 399, 3999, 4005):
+        w = [sum(int(hashlib.md5((f"{b // 4}:{k}" if k is not None else str(b // 4)).encode()).hexdigest()[8 * (b % 4) :][:8], 16) >= top for top in stats.STEPS) for k, *_ in rows]
+        assert got[b].n == sum(x * n for x, (*_, n) in zip(w, rows)) and np.isclose(got[b].d, sum(x * d for x, (_, d, _) in zip(w, rows) if d is not None))
+    assert max(got) < 4006
+    none = stats.intervals(df.limit(0), "d", "n", F.col("k"), 8).first()
+    assert none.units == 0 and none.estimate is None and none.lo is None
+
+
 def test_weights_are_poisson():
     w = [weight(b // 4, b % 4, k) for b in range(40) for k in range(500)]
     assert abs(np.mean(w) - 1) < 0.02 and abs(np.var(w) - 1) < 0.04
