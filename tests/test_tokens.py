@@ -6,6 +6,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from glyphstream.functions import text as X
 from glyphstream.operators import bpe, tokens
 from glyphstream.plans.catalog import byte_config
 
@@ -137,3 +138,25 @@ def test_extended_config_keeps_ids():
     assert a.encode("the plain text <|endoftext|>").ids == b.encode("the plain text <|endoftext|>").ids
     with pytest.raises(ValueError, match="not in the vocabulary"):
         bpe.extended(base, [("q", "no such part")])
+
+
+def test_slices_do_not_change_cuts_matches_or_composition(spark):
+    """Texts beyond one slice of bytes, and none at all: the same as one by one, in Arrow arrays of some bytes a match."""
+    import re
+    import unicodedata
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["नेपालको सरकार e\u0301 ingén " * n for n in (1, 9000, 3, 7000, 0, 20000)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    found = df.select("k", tokens.added_matches(F.col("t"), ["in", "ing"]).alias("m"), X.nfc(F.col("t")).alias("c")).collect()
+    for r in found:
+        t = texts[r.k] or ""
+        assert [(m.token, m.start, m.end) for m in r.m] == [(m[0], *m.span()) for m in re.finditer("ing|in", t)]
+        assert r.c == (None if texts[r.k] is None else unicodedata.normalize("NFC", t))
+    lengths = {i: len(b) for i, b in tokens.id_bytes(byte_config()).items()}
+    apart = tokens.cuts(bpe.encode(df, path, "t"), lengths, "t").collect()
+    assert sorted(map(str, tokens.cuts(df, lengths, "t", vocabulary=path).collect())) == sorted(map(str, apart))
+    schema = df.select(tokens.added_matches(F.col("t"), ["in"]).alias("m"))
+    assert "ArrowEvalPython" in schema._jdf.queryExecution().optimizedPlan().toString() and len(apart) == len(texts)
