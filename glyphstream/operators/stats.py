@@ -170,11 +170,11 @@ def bootstrap_exact(df: DataFrame, key: str, top: str, bottom: str, order: str,
 
 
 def mid_ranks(df: DataFrame, col: str, name: str) -> DataFrame:
-    """df with the mean rank of col among all rows, equal values sharing theirs: counts of values are prefix-summed, and joined back."""
+    """df with the mean rank of col among all rows, equal values sharing theirs and nulls last: counts of values are prefix-summed, and joined back."""
     counts = df.groupBy(F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(F.col("__v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = counts.select("__v", (before + (F.col("__n") + 1) / 2).alias(name))
-    return df.join(ranks, F.col(col) == F.col("__v")).drop("__v")
+    return df.join(ranks, F.col(col).eqNullSafe(F.col("__v"))).drop("__v")
 
 
 def units_inside(spans: DataFrame, boundaries: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphstream.functions import patterns as P
 from glyphstream.functions import text as X
-from glyphstream.operators import stats
+from glyphstream.operators import prep, stats
 from glyphstream.plans.catalog import A_RAW, A_TR, B_RAW, B_TR, PIECES_SQL, SCORES_SQL, TR, WORDS, boot_sql, docs, pieces, query, ratio, scores, table, tr, word_rows
 
 B = 2000
@@ -149,7 +149,7 @@ def option_scoring(spark, d):
 SELECT count(*) AS units, round(corr(n, p), 6) AS pearson, round(corr(rn, rp), 6) AS spearman, round(regr_slope(ln(p), ln(n)), 6) AS exponent FROM r""")
 def correlations(spark, d):
     """Linear and rank correlation, and the exponent of a power law, of two figures of each unit."""
-    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("p"))
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(28,6)")).cast("double").alias("p"))  # equal in whatever order, so ties are ties
     r = stats.mid_ranks(stats.mid_ranks(g, "n", "rn"), "p", "rp")
     return r.agg(F.count("*").alias("units"), F.round(F.corr("n", "p"), 6).alias("pearson"), F.round(F.corr("rn", "rp"), 6).alias("spearman"), F.round(F.regr_slope(F.log("p"), F.log("n")), 6).alias("exponent"))
 
@@ -161,10 +161,11 @@ SENT_SQL = f"n AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY do
 
 def sentences(spark, d):
     """Documents of each language in order as the sentences of a parallel corpus."""
-    at = (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).cast("bigint")
-    n = docs(spark, d).where("lang is not null").select("lang", at.alias("sent_id"), tr().alias("t"), "text")
     count = X.pretoken_count
-    return n.select("lang", "sent_id", count(F.col("t"), P.PAT_A).alias("a"), count(F.col("t"), P.PAT_B).alias("b"), count(F.col("text"), P.PAT_A).alias("raw"), F.octet_length("text").alias("bytes"), F.length("text").alias("chars"))
+    n = docs(spark, d).where("lang is not null").select("lang", "doc_id", tr().alias("t"), "text")
+    n = n.select("lang", "doc_id", F.lit(1).alias("one"), count(F.col("t"), P.PAT_A).alias("a"), count(F.col("t"), P.PAT_B).alias("b"), count(F.col("text"), P.PAT_A).alias("raw"), F.octet_length("text").alias("bytes"), F.length("text").alias("chars"))
+    # counts move, not texts, and a language's rows are numbered by ranges
+    return prep.running(n, "one", "doc_id", ["lang"]).select("lang", F.col("before").alias("sent_id"), "a", "b", "raw", "bytes", "chars")
 
 
 @query("WITH " + SENT_SQL + """ SELECT l.lang, count(*) AS sentences, round(sum(l.a) / sum(e.raw), 6) AS premium, round(sum(l.bytes) / sum(e.bytes), 6) AS byte_ratio, round(sum(l.chars) / sum(e.chars), 6) AS char_ratio
@@ -220,9 +221,10 @@ def unseen_bigrams(spark, d):
     pair = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     n = w.select("even", F.explode(pair).alias("z")).groupBy("z.a", "z.b").agg(F.count_if("even").alias("seen"), F.count_if(~F.col("even")).alias("n"))
     old = n.where("seen > 0").select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    e = n.where("n > 0").join(old.select(F.col("w").alias("a"), F.lit(True).alias("x")), "a", "left").join(old.select(F.col("w").alias("b"), F.lit(True).alias("y")), "b", "left")
     new = F.col("seen") == 0
-    return e.agg(F.sum("n").alias("bigrams"), F.sum(F.when(new, F.col("n"))).alias("unseen"), F.sum(F.when(new & F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("n"))).alias("unseen_of_seen"), F.count("*").alias("types"), F.count_if(new).alias("unseen_types"))
+    all_ = n.where("n > 0").agg(F.sum("n").alias("bigrams"), F.sum(F.when(new, F.col("n"))).alias("unseen"), F.count("*").alias("types"), F.count_if(new).alias("unseen_types"))
+    known = n.where("n > 0 AND seen = 0").join(old.select(F.col("w").alias("a")), "a", "left_semi").join(old.select(F.col("w").alias("b")), "b", "left_semi")
+    return all_.crossJoin(known.agg(F.sum("n").alias("unseen_of_seen"))).select("bigrams", "unseen", "unseen_of_seen", "types", "unseen_types")
 
 
 SPAN_SQL = """w AS (SELECT item_id, string_split(text, ' ') AS w, length(text) AS n FROM benchmark), t AS (SELECT item_id, unnest(range(len(w))) AS i, w FROM w),

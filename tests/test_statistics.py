@@ -86,3 +86,29 @@ def test_clusters_and_ranks(spark):
     assert got[2, 1] == 7 and got[1, 4] == 2
     ranks = sorted((r.v, r.rank) for r in stats.mid_ranks(spark.createDataFrame([(3,), (1,), (3,), (2,)], "v int"), "v", "rank").collect())
     assert ranks == [(1, 1.0), (2, 2.0), (3, 3.5), (3, 3.5)]
+
+
+def test_null_values_are_ranked_last_and_kept(spark):
+    df = spark.createDataFrame([(3.0,), (None,), (1.0,), (None,)], "v double")
+    assert sorted((str(r.v), r.rank) for r in stats.mid_ranks(df, "v", "rank").collect()) == [("1.0", 1.0), ("3.0", 2.0), ("None", 3.5), ("None", 3.5)]
+
+
+def test_queries_equal_their_sql_on_odd_rows(spark, tmp_path):
+    """Empty texts, sums whose order matters, and documents of one language in many ranges."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(k, ["", "bcs th", "the cat sat", "a b"][k % 4] if k % 9 else "", ["en", "de", "fr"][k % 3], "s", 5) for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    prices = [0.1, 0.2, 0.3, 0.7, 1e6 + 0.4]
+    orders = [(9 * c + k, c, prices[(c + k) % 5]) for c in range(60) for k in range(1 + c % 4)] + [(1000, 99, None), (1001, 99, None), (1002, 98, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").repartition(7).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for q in ("syllable_units", "token_premium", "premium_factors", "unseen_bigrams"):
+        got = sorted(map(str, map(tuple, entry.queries()[q](spark, str(tmp_path)).collect())))
+        assert got == sorted(map(str, con.execute(entry.oracle_sql()[q]).fetchall())), q
+    r = entry.queries()["correlations"](spark, str(tmp_path)).first()
+    assert r.units == 62 and r.units == con.execute(entry.oracle_sql()["correlations"]).fetchone()[0]
