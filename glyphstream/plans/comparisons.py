@@ -194,9 +194,9 @@ ARMS_SQL = f"arms AS (SELECT lang, unnest(['alpha', 'beta', 'gamma', 'delta']) A
 SELECT min(name) AS representative, count(*) AS members, string_agg(name, ',' ORDER BY name) AS names FROM s GROUP BY sig""")
 def alias_groups(spark, d):
     """Tokenizers with equal token counts in every language: the first names the group."""
-    t, u = F.col("text"), tr()
-    arms = F.array(*(F.struct(F.lit(n).alias("name"), X.pretoken_count(c, p).alias("n")) for n, c, p in (("alpha", t, P.PAT_A), ("beta", t, P.PAT_B), ("gamma", u, P.PAT_A), ("delta", u, P.PAT_B))))
-    c = docs(spark, d).where("lang is not null").select("lang", F.explode(arms).alias("z")).groupBy("z.name", "lang").agg(F.sum("z.n").alias("n"))
+    arms = (("alpha", "text", P.PAT_A), ("beta", "text", P.PAT_B), ("gamma", "t", P.PAT_A), ("delta", "t", P.PAT_B))
+    sums = docs(spark, d).where("lang is not null").select("lang", "text", tr().alias("t")).groupBy("lang").agg(*(F.sum(X.pretoken_count(F.col(c), p)).alias(n) for n, c, p in arms))
+    c = sums.select("lang", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n, *_ in arms))).alias("z")).select("lang", "z.*")
     sig = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lang", "n"))), lambda x: F.concat_ws(":", x["lang"], x["n"].cast("string"))), ",")
     return c.groupBy("name").agg(sig.alias("sig")).groupBy("sig").agg(F.min("name").alias("representative"), F.count("*").alias("members"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names")).drop("sig")
 

@@ -160,3 +160,29 @@ def test_slices_do_not_change_cuts_matches_or_composition(spark):
     assert sorted(map(str, tokens.cuts(df, lengths, "t", vocabulary=path).collect())) == sorted(map(str, apart))
     schema = df.select(tokens.added_matches(F.col("t"), ["in"]).alias("m"))
     assert "ArrowEvalPython" in schema._jdf.queryExecution().optimizedPlan().toString() and len(apart) == len(texts)
+
+
+def test_edits_are_difflibs_and_summed_by_task(spark):
+    import difflib
+    from collections import Counter
+
+    random.seed(8)
+    pairs = [("".join(random.choices("abcdxyz"[: random.randint(1, 7)], k=random.randint(0, 30))), "".join(random.choices("abcdefg"[: random.randint(1, 7)], k=random.randint(0, 30)))) for _ in range(1500)]
+    want = Counter()
+    for a, b in pairs:
+        ops = [x for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if x[0] != "equal"]
+        assert tokens.edits(list(a), list(b)) == ops
+        want.update((op, i2 - i1, j2 - j1) for op, i1, i2, j1, j2 in ops for _ in range(3))
+    df = spark.createDataFrame([(3, list(a), list(b)) for a, b in pairs], "n long, a array<string>, b array<string>")
+    assert {(r.op, r.a_len, r.b_len): r.n for r in tokens.edit_counts(df, "a", "b", "n").collect()} == want
+
+
+def test_counts_of_pretokens_equal_their_number(spark):
+    from glyphstream.functions import patterns as P
+
+    texts = ["it's WE'LL 'x ' '' 'ſ 12345  a\n\n b 　", "", None, "नेपाल's को", "   ", "\n"] + ["".join(random.choices("ab'sSlL 1\n.é्", k=12)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in (P.PAT_A, P.PAT_B):
+        old = F.regexp_extract_all("t", F.lit("(?U)" + p), F.lit(0))
+        for r in df.select(X.pretoken_count(F.col("t"), p).alias("n"), X.pretokens(F.col("t"), p).alias("p"), old.alias("o")).collect():
+            assert r.p == r.o and r.n == (None if r.o is None else len(r.o))
